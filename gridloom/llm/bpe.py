@@ -9,7 +9,7 @@ change. Decoding concatenates the tokens' bytes, up the same tree.
 
 A text is first split by a pattern, and each match is encoded separately (a match that is a token itself
 becomes that token); the tree's upper levels concatenate. One map over the rows, no shuffle; a worker
-keeps the encodings of at most ``CACHE`` short matches.
+keeps the encodings of a bounded number of short matches and strings, the ones met lately.
 
 Defined results: a null or empty text has no tokens and decodes to no bytes; a null key stays null; rows
 that repeat give equal rows; other columns of the input are ignored.
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import chunks
 
 #: A string of at most so many bytes is a leaf of the tree.
-LEAF = 12
-#: Matches of at most MATCH characters are kept, so many of them.
-CACHE, MATCH = 200_000, 32
+LEAF = 6
+#: Matches of at most MATCH characters and strings of at most SHORT bytes are kept, twice so many of each.
+CACHE, MATCH, SHORT = 300_000, 32, 16
+NO_RANK = 1 << 60
 
 
 class Codec:
@@ -48,7 +49,8 @@ class Codec:
         # the tokenizer's \s is Unicode's White_Space
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known = _Known(self)
+        self.known = _Recent(self.encode_match, MATCH)
+        self.short = _Recent(self.merge, SHORT)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -60,18 +62,16 @@ class Codec:
         if len(data) > 64:
             return self._merge_long(data)
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            low = min((r for r in pairs if r is not None), default=None)
-            if low is None:
-                return [ranks[p] for p in parts]
+        pairs = [ranks.get(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while pairs and (low := min(pairs)) < NO_RANK:
             at = pairs.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at] += parts.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], NO_RANK)
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
+                pairs[at] = ranks.get(parts[at] + parts[at + 1], NO_RANK)
+        return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
         """The same for a long string, by a heap over a linked list."""
@@ -104,7 +104,7 @@ class Codec:
         if ok is None:
             if len(self.fits) >= 4 * CACHE:
                 self.fits.clear()
-            ok = self.fits[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
+            ok = self.fits[a, b] = self.short[self.bytes[a] + self.bytes[b]] == [a, b]
         return ok
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -115,7 +115,7 @@ class Codec:
         if self.pair(left[-1], right[0]):
             return left + right
         while True:
-            window = self.merge(b"".join(map(self.bytes.__getitem__, left[-i:] + right[:j])))
+            window = self.short[b"".join(map(self.bytes.__getitem__, left[-i:] + right[:j]))]
             left_ok = i == len(left) or self.pair(left[-i - 1], window[0])
             right_ok = j == len(right) or self.pair(window[-1], right[j])
             if left_ok and right_ok:
@@ -124,7 +124,7 @@ class Codec:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.short[data]
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
@@ -140,19 +140,22 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-class _Known(dict):
-    """The encodings of matches met before."""
+class _Recent(dict):
+    """Results of a function for short arguments met before, in two generations of at most CACHE each."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, of, longest: int):
+        self.of, self.longest, self.old = of, longest, {}
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = self.codec.encode_match(match)
-        if len(match) <= MATCH:
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.of(key)
+        if len(key) <= self.longest:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
-            self[match] = ids
-        return ids
+            self[key] = out
+        return out
 
 
 @lru_cache(2)
