@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, tokencount, toxicity
+from . import bpe, langid, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -21,9 +21,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_byte_bpe, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_byte_bpe, op6_simhash, op7_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
