@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,3 +82,22 @@ def bounded_sample(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``; our own only where it is unset)."""
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/gridloom").rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder and read again, so that nothing computes it twice.
+
+    The folder goes when the driver's program ends.
+    """
+    path = f"{shared_folder(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, df.sparkSession, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended
+        pass
