@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, simhash, tokencount, toxicity
+from . import bpe, decontam, langid, linededup, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -33,5 +33,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op6_simhash, op7_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op6_simhash, op7_token_counts, op8_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE, "op8_decontaminate": decontam.ORACLE}
