@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, secrets, simhash, tokencount, toxicity
+from . import bpe, decontam, langid, linededup, secrets, simhash, sketch, tokencount, toxicity
 from .common import table
 
 
@@ -41,5 +41,9 @@ def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op6_simhash, op7_token_counts, op8_decontaminate, op9_secret_links)}
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op6_simhash, op7_token_counts, op8_decontaminate, op9_secret_links, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE, "op8_decontaminate": decontam.ORACLE}
