@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, linededup, secrets, simhash, sketch, tokencount, toxicity
+from . import bpe, decontam, htmlmain, langid, linededup, secrets, simhash, sketch, tokencount, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.report(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -45,5 +49,5 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op6_simhash, op7_token_counts, op8_decontaminate, op9_secret_links, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_byte_bpe, op5_main_text, op6_simhash, op7_token_counts, op8_decontaminate, op9_secret_links, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.ORACLE, "op8_decontaminate": decontam.ORACLE}
