@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .common import checkpoint, chunks
 from .graph import components
 
@@ -189,10 +190,22 @@ def _bucket_links(fp: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[in
         keep = a != fp[b]
         links += zip(a[keep].tolist(), fp[b][keep].tolist())
         if len(links) > most:
-            return _spanning(np.unique(fp), radius)
+            return _sparse(np.unique(fp), radius)
     return list({(min(x), max(x)) for x in links})
 
 
+def _sparse(codes: np.ndarray, radius: int, each: int = 4) -> list[tuple[int, int]]:
+    """A spanning forest of the links among many close codes, and links of each code to its nearest ones."""
+    out = set(_spanning(codes, radius))
+    step = max(1, (1 << 21) // len(codes))
+    for i in range(0, len(codes), step):
+        apart = np.bitwise_count(codes[i : i + step, None] ^ codes[None, :])
+        some = min(each + 1, len(codes))
+        for a, row, at in zip(codes[i : i + step].tolist(), apart, np.argpartition(apart, some - 1, axis=1)[:, :some]):
+            out |= {(min(a, b), max(a, b)) for b, d in zip(codes[at].tolist(), row[at].tolist()) if b != a and d <= radius}
+    return list({(min(x), max(x)) for x in out})
+
+
 def _spanning(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among codes, by breadth-first search."""
     links, left = [], codes
@@ -269,17 +282,56 @@ def hexadecimal(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fingerprint, component_id) for each row: the least key of the documents that it reaches."""
-    prints = checkpoint(fingerprints(docs, words, text, key))
-    codes = checkpoint(prints.groupBy("fp").agg(F.min(key).alias("least")))
-    found = links(codes, plan(*bit_counts(codes), radius), radius)
-    # components by codes, then the least key of each component's codes
+def _codes(prints: DataFrame, key: str) -> DataFrame:
+    return checkpoint(prints.groupBy("fp").agg(F.min(key).alias("least")))
+
+
+def _ids(codes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id): the least key of all codes that each code reaches by the links ``found``."""
     reach = components(found)
-    of = codes.join(reach.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    of = checkpoint(of)
+    of = checkpoint(codes.join(reach.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     # most components are one code; only the others are gathered
     joint = reach.select("component").distinct()
     least = of.join(joint, "component", "left_semi").groupBy("component").agg(F.min("least").alias("id"))
-    ids = of.join(least, "component", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+    return of.join(least, "component", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+
+
+def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint, component_id) for each row: the least key of the documents that it reaches."""
+    prints = checkpoint(fingerprints(docs, words, text, key))
+    codes = _codes(prints, key)
+    ids = _ids(codes, links(codes, plan(*bit_counts(codes), radius), radius))
     return prints.join(ids, "fp").select(key, hexadecimal().alias("fingerprint"), "component_id")
+
+
+#: Radius and likeness of ``near_duplicates``: most pairs of that likeness lie within the radius.
+RADIUS, SIMILARITY = 10, 0.8
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, component_id) for each row, by links within the radius whose texts' shingles have that Jaccard likeness.
+
+    Fingerprints find the pairs; then one document of each fingerprint in a link is read again, and the link
+    stays if the documents' bottom-k sketches of shingles are alike enough (exact up to k distinct shingles).
+    Documents of equal fingerprints are one class.
+    """
+    prints = checkpoint(fingerprints(docs, words, text, key))
+    codes = _codes(prints, key)
+    found = checkpoint(links(codes, plan(*bit_counts(codes), radius), radius))
+    ends = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(codes, "fp").select("fp", F.col("least").alias("__least"))
+    read = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text")).join(ends, F.col("__key") == F.col("__least"))
+    sketches = read.groupBy("fp").agg(F.min("__text").alias("__text")).select("fp", sketch.sketch(F.col("__text"), VERIFY_K, words).alias("s"))
+    sketches = checkpoint(sketches)
+    pairs = found.join(sketches.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
+    alike = pairs.where(sketch.resemblance(F.col("a"), F.col("b"), VERIFY_K) >= similarity).select("u", "v")
+    return prints.join(_ids(codes, alike), "fp").select(key, "component_id")
+
+
+#: Hashes in the sketches that links are verified by.
+VERIFY_K = 512
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, the one of the least key; those without key stay."""
+    gone = near_duplicates(docs, text=text, key=key, **how).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
+    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
