@@ -30,7 +30,7 @@ from .common import bounded_sample, chunks
 from .htmltree import Node, features, parse
 
 #: Generated pages, and most pages of the table, that the trees are fitted on.
-PAGES, SAMPLE = 700, 200
+PAGES, SAMPLE = 900, 250
 #: Marks main text in generated pages.
 _MARK = ""
 
@@ -125,7 +125,7 @@ def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> gbt.Trees
 
     sample = bounded_sample(pages.where(F.col(html).isNotNull()).withColumn("all", F.lit(1)), key, "all", SAMPLE).select(html)
     own = sorted((list(r.x), r.y) for r in sample.mapInArrow(rows, "y int, x array<double>").collect())
-    return gbt.fit(np.array(x + [r[0] for r in own], np.float64), np.array(y + [r[1] for r in own]), trees=40, depth=4, rate=0.25)
+    return gbt.fit(np.array(x + [r[0] for r in own], np.float64), np.array(y + [r[1] for r in own]), trees=50, depth=5, rate=0.2)
 
 
 def main_text(pages: DataFrame, trees: gbt.Trees, html: str = "html", key: str = "page_id", *keep: str) -> DataFrame:
