@@ -2,13 +2,12 @@ import os
 import sys
 
 import pytest
+from helpers import DATA, ROOT
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 # Python workers import the package from here
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -37,13 +36,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     return c
-
-
-def same_rows(df, duck, sql):
-    """The DataFrame has the rows and columns of the SQL."""
-    columns = df.columns
-    assert sorted(columns) == sorted(duck.sql(sql).columns)
-    key = lambda r: tuple((x is None, str(x)) for x in r)
-    got = sorted((tuple(r) for r in df.collect()), key=key)
-    want = sorted(duck.sql(f"select {', '.join(columns)} from ({sql})").fetchall(), key=key)
-    assert got == want

@@ -1,7 +1,7 @@
 """Each query against its SQL, and those without SQL against what must hold for them."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 from gridloom.operators import assign, kernels, partition, solvers
 from gridloom.plans import catalog, tables

@@ -5,7 +5,7 @@ import shutil
 import subprocess
 import sys
 
-from conftest import ROOT
+from helpers import ROOT
 
 
 def test_entry_has_rows(spark):

@@ -196,3 +196,26 @@ def test_orderings_invert(spark):
     v = m.rows("idx").select("idx", (F.col("idx") * 2.0).alias("v"))
     order = partition.order_from_part_vector(m.rows().select("i", (F.col("i") % 3).cast("int").alias("part")), 3)
     assert sorted(map(tuple, vector.gather(vector.scatter(v, order), order).collect())) == sorted(map(tuple, v.collect()))
+
+
+@pytest.mark.parametrize("form", ["CSR", "JDS", "HYBRID_JDS_CSR"])
+@pytest.mark.parametrize("order, method", [("none", "regular"), ("column_net", "recursive_bipartition")])
+def test_planned_products_agree(spark, tmp_path, form, order, method):
+    from gridloom.plans.planner import Options, prepare, report
+
+    rng = random.Random(8)
+    m = rows_of(spark, [rng.choice([0, 1, 3, 12]) for _ in range(60)], 12)
+    o = Options.parse(["matrix=m", "num_blocks=2", "threads_per_block=1", "targeted_cache_size_kb=1", f"storage_format={form}", f"ordering_type={order}", f"partition_method={method}", "run_count_warm_up=0", "run_count_measure=1"])
+    want = sorted(map(tuple, kernels.spmv(m, kernels.ramp(m)).collect()))
+    assert sorted(map(tuple, prepare(m, o).product(kernels.ramp(m)).collect())) == want
+    if form == "CSR" and order == "none":
+        o.matrix = write(tmp_path / "m.mtx", "%%MatrixMarket matrix coordinate real general\n2 2 2\n1 1 1\n2 2 1\n")
+        assert report(spark, o).startswith("m;2;2;2;1;1.0;1;1;1.0;1;1;1;1;")
+
+
+@pytest.mark.parametrize("words", [[], ["matrix=a"], ["matrix=a", "num_blocks=1", "threads_per_block=1", "targeted_cache_size_kb=64", "storage_format=CSC"], ["what=1"], ["matrix=a", "num_blocks=1", "threads_per_block=1", "targeted_cache_size_kb=64", "partition_type=2D_checker_board"]])
+def test_wrong_options_are_refused(words):
+    from gridloom.plans.planner import Options
+
+    with pytest.raises(ValueError):
+        Options.parse(words)
