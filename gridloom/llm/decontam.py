@@ -43,9 +43,10 @@ def _starts(count: Column, size: int) -> Column:
 
 def _found(size: int, known: list[int] | None) -> Column:
     """The places of a document (w, h, n) whose ``size`` words have a known hash (None: all places)."""
-    at = _starts(F.col("n"), size)
-    if known is not None:
-        at = F.filter(at, lambda i: _hash(F.col("h"), i, size).isin(known))
+    if known is None:
+        at = _starts(F.col("n"), size)
+    else:  # as text: a column object for each hash would cost the driver more than the set
+        at = F.expr(f"filter(if(n >= {size}, sequence(0, n - {size}), cast(array() as array<int>)), i -> xxhash64(slice(h, i + 1, {size})) in ({', '.join(f'{x}L' if x > -(2**63) else 'bigint(-9223372036854775808)' for x in known)}))")
     return F.transform(at, lambda i: F.struct(F.lit(size).alias("size"), _hash(F.col("h"), i, size).alias("hash"), i.alias("at"), F.slice(F.col("w"), i + 1, size).alias("gram")))
 
 

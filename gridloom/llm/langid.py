@@ -30,7 +30,7 @@ from .common import bounded_sample, chunks, held_out, utf8
 #: Hashed n-gram dimensions.
 DIM = 8192
 #: Bounds of the labelled sample that the classifier is fitted on.
-PER_LANG, MAX_ROWS = 600, 6000
+PER_LANG, MAX_ROWS = 400, 4000
 #: Centroids of one language.
 CENTROIDS = 4
 #: A text is rejected below this share of the least cosine that the language's training rows have; the
@@ -123,18 +123,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def sparse(batches):
         for b in chunks(batches):
             for l, c in zip(b.column(0).to_pylist(), counts(*utf8(b.column(1)))):
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([l]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([c[at].tolist()], pa.list_(pa.float32()))], ["l", "at", "c"])
+                at = np.flatnonzero(c).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([l]), pa.array([at.tobytes()]), pa.array([c[at].tobytes()])], ["l", "at", "c"])
 
-    rows = sorted(((l, at, c) for l, at, c in picked.mapInArrow(sparse, "l string, at array<int>, c array<float>").toLocalIterator() if at), key=lambda r: (r[0], list(r[1]), list(r[2])))
+    # about 3 KB a row, in an order of its own so that the fit doesn't hang on that of the tasks
+    rows = sorted((l, bytes(at), bytes(c)) for l, at, c in picked.mapInArrow(sparse, "l string, at binary, c binary").collect() if at)
     langs = sorted({r[0] for r in rows})
     if not rows:
         return Centroids([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
     x = np.zeros((len(rows), DIM), np.float32)
+    seen = np.zeros(DIM)
     for i, (_, at, c) in enumerate(rows):
-        x[i, at] = c
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = _unit(np.log1p(x) * idf)
+        at = np.frombuffer(at, np.uint16)
+        x[i, at] = np.frombuffer(c, np.float32)
+        seen[at] += 1
+    idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    np.log1p(x, out=x)
+    x *= idf
+    for row in x:
+        row /= np.linalg.norm(row) or 1
     vectors, owner, least = [], [], []
     label = np.array([langs.index(r[0]) for r in rows])
     for i in range(len(langs)):

@@ -2,7 +2,7 @@
 
 A *run* is a sequence of consecutive lines (blank lines don't count) with at least ``min_words`` words. A
 line goes if it lies in a run that an identical run precedes, in the order of documents' keys and of lines
-within a document; so the first occurrence of everything stays.
+within a document; so the first occurrence of everything stays. A blank line goes with the windows below that it lies in.
 
 The windows of the winnowing are the shortest runs that start at a line or end at one. Each window selects
 the line of the least hash in it: a fingerprint. If a run repeats, so do the windows in it, and the
