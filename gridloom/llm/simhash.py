@@ -10,8 +10,8 @@ its threshold; -1 leaves a partition out. A dynamic program allots the threshold
 partitions select unequally) with the least estimated cost: probes (all keys within the threshold) and
 candidates (from the bits' shares over all fingerprints). The number of partitions is the one of least cost.
 Each distinct fingerprint is sent to the keys that it probes; where rows meet under a key they are verified
-by all their bits. A key's rows yield links enough to connect them, at most ``8`` a row, never all
-pairs. A key with more than ``HOT`` rows is split into blocks, and each pair of blocks is a bucket of its own,
+by all their bits. A key's rows yield links enough to connect them, in a dense group about two a
+row, never all pairs. A key with more than ``HOT`` rows is split into blocks, and each pair of blocks is a bucket of its own,
 so that no task gets an unbounded group and no link is lost.
 
 Defined results: a text without words has fingerprint zero and links like any other; a null text counts as
@@ -181,7 +181,7 @@ def probes(codes: DataFrame, parts: list[Partition]) -> DataFrame:
 
 def _bucket_links(fp: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Links that connect the codes of one bucket which lie within the radius of a code under its own key."""
-    base, links, most = fp[own], [], 8 * len(fp)
+    base, links, most = fp[own], [], 2 * len(fp)
     step = max(1, (1 << 21) // len(fp))
     for i in range(0, len(base), step):
         near = np.bitwise_count(base[i : i + step, None] ^ fp[None, :]) <= radius
@@ -194,25 +194,31 @@ def _bucket_links(fp: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[in
     return list({(min(x), max(x)) for x in links})
 
 
-def _sparse(codes: np.ndarray, radius: int, each: int = 4) -> list[tuple[int, int]]:
-    """A spanning forest of the links among many close codes, and links of each code to its nearest ones."""
-    out = set(_spanning(codes, radius))
+def _sparse(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Few links among many close codes: of each to its nearest one, and a spanning forest.
+
+    The forest's roots are the most central codes: where many texts are edits of one, its code is in their
+    midst, and it is the text that all of them are most alike to.
+    """
+    out, total = set(), np.zeros(len(codes), np.int64)
     step = max(1, (1 << 21) // len(codes))
     for i in range(0, len(codes), step):
         apart = np.bitwise_count(codes[i : i + step, None] ^ codes[None, :])
-        some = min(each + 1, len(codes))
-        for a, row, at in zip(codes[i : i + step].tolist(), apart, np.argpartition(apart, some - 1, axis=1)[:, :some]):
-            out |= {(min(a, b), max(a, b)) for b, d in zip(codes[at].tolist(), row[at].tolist()) if b != a and d <= radius}
-    return list({(min(x), max(x)) for x in out})
+        total[i : i + step] = apart.sum(axis=1, dtype=np.int64)
+        apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = 65
+        near = apart.argmin(axis=1)
+        ok = apart[np.arange(len(apart)), near] <= radius
+        out |= {(min(x), max(x)) for x in zip(codes[i : i + step][ok].tolist(), codes[near[ok]].tolist())}
+    return list(out | {(min(x), max(x)) for x in _spanning(codes[np.argsort(total, kind="stable")], radius)})
 
 
 def _spanning(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among codes, by breadth-first search."""
+    """A spanning forest of the links among codes, by breadth-first search from the first of them."""
     links, left = [], codes
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
-            at = front.pop()
+            at = front.pop(0)
             near = np.bitwise_count(left ^ at) <= radius
             new = left[near]
             links += [(int(at), int(x)) for x in new]
@@ -242,7 +248,7 @@ def links(codes: DataFrame, parts: list[Partition], radius: int, hot: int = HOT)
             fp = fp.view(np.uint64)
             sizes = np.diff(cut)
             worth = np.flatnonzero((sizes > 1) & (np.add.reduceat(own, cut[:-1]) > 0)) if len(sizes) else []
-            found = [x for i in worth for x in _bucket_links(fp[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]].astype(bool), radius)]
+            found = {x for i in worth for x in _bucket_links(fp[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]].astype(bool), radius)}
             if found:
                 u, v = (np.array(x, np.uint64).view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -305,7 +311,7 @@ def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: s
 
 
 #: Radius and likeness of ``near_duplicates``: most pairs of that likeness lie within the radius.
-RADIUS, SIMILARITY = 10, 0.8
+RADIUS, SIMILARITY = 12, 0.8
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
