@@ -49,6 +49,13 @@ def csr_packed(m: SparseMatrix, width: int = 1 << 16) -> DataFrame:
     return rows.select("i", "segment", F.col("e.j").alias("cols"), F.col("e.val").alias("vals"))
 
 
+def dense_rows(m: SparseMatrix, start: int, rows: int) -> DataFrame:
+    """(i, vals): some rows written out with their zeros, for looking at."""
+    e = m.combine().entries.where(F.col("i").between(start, start + rows - 1)).groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "val"))).alias("at"))
+    every = m.rows().where(F.col("i").between(start, start + rows - 1)).join(e, "i", "left")
+    return every.select("i", F.transform(F.sequence(F.lit(0), F.lit(m.n_cols - 1)), lambda j: F.coalesce(F.try_element_at("at", j.cast("bigint")), F.lit(0.0))).alias("vals"))
+
+
 # --- delta encoding
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assign, formats, kernels, partition, solvers, stats, vector
 from ..operators.matrix import SparseMatrix, compose
-from . import tables
+from . import planner, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -223,11 +223,17 @@ def csc_entries(spark, d):
     return formats.csc(tables.ps(spark, d))
 
 
-@query(_sql("ps", "select i, string_agg(j::varchar, ',' order by j) as cols, string_agg(val::bigint::varchar, ',' order by j) as vals from ps group by i"))
+@query(_sql("ps", "select i, j // 65536 as segment, string_agg(j::varchar, ',' order by j) as cols, string_agg(val::bigint::varchar, ',' order by j) as vals from ps group by 1, 2"))
 def csr_packed(spark, d):
-    m = tables.ps(spark, d)
-    rows = formats.csr_packed(m).where("segment = 0")  # the table has fewer columns than a segment
-    return rows.select("i", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.array_join(F.col("vals").cast("array<bigint>").cast("array<string>"), ",").alias("vals"))
+    rows = formats.csr_packed(tables.ps(spark, d))
+    return rows.select("i", "segment", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.array_join(F.col("vals").cast("array<bigint>").cast("array<string>"), ",").alias("vals"))
+
+
+@query(_sql("ps", "select i, string_agg(coalesce(e.val, 0)::bigint::varchar, ' ' order by j) as line from (select p_partkey as i, s_suppkey as j from part, supplier where p_partkey < 12) left join ps e using (i, j) group by i"))
+def dense_rows(spark, d):
+    # a rendering of the first rows, which is what it is for
+    rows = formats.dense_rows(tables.ps(spark, d).sub(0, 0, 12, 1 << 40), 0, 12)
+    return rows.select("i", F.array_join(F.transform("vals", lambda v: v.cast("bigint").cast("string")), " ").alias("line"))
 
 
 @query(_sql("sk", "select row_number() over w - 1 as t, case when lag(i) over w is null then j when lag(i) over w = i then j - lag(j) over w else (select count(*) from supplier) + j - lag(j) over w end as delta, val from sk window w as (order by i, j)"))
@@ -512,6 +518,14 @@ def assign_split(spark, d):
     return rows.select("pos", assign.split(F.col("pos"), n, WORKERS).alias("worker"))
 
 
+@query(
+    f"""with p as (select k::integer as part, k * {SLICE} as row_start, least((k + 1) * {SLICE}, {_N}) as row_end from (select unnest(range((({_N} + {SLICE} - 1) // {SLICE})::bigint)) as k))
+select part, row_start, row_end, (part % {WORKERS})::integer as worker from p"""
+)
+def assign_parts(spark, d):
+    return planner.assign_parts(partition.static_slices(tables.ps(spark, d), SLICE), WORKERS, "scatter")
+
+
 @query()
 def assign_tree(spark, d):
     return assign.tree(partition.bipartition(tables.sk(spark, d), TARGET_KB), WORKERS)

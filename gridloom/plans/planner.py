@@ -10,7 +10,7 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import formats, kernels, partition, stats
+from ..operators import assign, formats, kernels, partition, stats
 from ..operators.matrix import SparseMatrix
 from ..sources.mtx import read_mtx
 
@@ -113,6 +113,17 @@ def prepare(m: SparseMatrix, o: Options) -> Prepared:
     return Prepared(m, found, parts, o, order, regions)
 
 
+def assign_parts(found: DataFrame, workers: int, how: str = "block") -> DataFrame:
+    """A partition with ``worker``: contiguous (``block``), round robin (``scatter``) or by halves (``split``).
+
+    For a tree's subtrees see ``operators.assign.tree``. Spark's own scheduler balances tasks as they run; this is
+    for plans that pin parts, as in ``found.repartition(workers, "worker")``.
+    """
+    pos, n = F.col("part"), found.count()
+    worker = {"block": lambda: assign.decompose(pos, n, workers), "scatter": lambda: assign.scatter(pos, workers), "split": lambda: assign.split(pos, n, workers)}[how]()
+    return found.withColumn("worker", worker)
+
+
 def measure(p: Prepared, x: DataFrame) -> list[float]:
     """Seconds of each measured run, after the warm-up runs."""
     took = []
