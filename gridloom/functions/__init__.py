@@ -1 +1 @@
-
+"""Scans and lineage helpers."""

@@ -1 +1 @@
-
+"""Matrix operators."""

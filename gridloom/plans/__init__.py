@@ -1 +1 @@
-
+"""The query catalog, its tables and run options."""

@@ -1 +1 @@
-
+"""The surveyed feature set has no streams; nothing is here."""
