@@ -31,8 +31,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def chunks(batches, size: int = CHUNK_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches whose text column holds about ``size`` bytes, at least one row each."""
+def chunks(batches, size: int = CHUNK_BYTES, column: int = 1, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most ``rows`` rows whose text column holds about ``size`` bytes, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -41,7 +41,7 @@ def chunks(batches, size: int = CHUNK_BYTES, column: int = 1) -> Iterator[pa.Rec
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -31,6 +31,8 @@ from .common import bounded_sample, chunks, held_out, utf8
 DIM = 8192
 #: Bounds of the labelled sample that the classifier is fitted on.
 PER_LANG, MAX_ROWS = 400, 4000
+#: Texts that are counted at a time (DIM counts each).
+ROWS = 256
 #: Centroids of one language.
 CENTROIDS = 4
 #: A text is rejected below this share of the least cosine that the language's training rows have; the
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     picked = bounded_sample(known, "k", "l", per_lang).limit(MAX_ROWS).select("l", "t")
 
     def sparse(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, rows=ROWS):
             for l, c in zip(b.column(0).to_pylist(), counts(*utf8(b.column(1)))):
                 at = np.flatnonzero(c).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.array([l]), pa.array([at.tobytes()]), pa.array([c[at].tobytes()])], ["l", "at", "c"])
@@ -161,7 +163,7 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text", key: str = "d
     def run(batches):
         m = shared.value
         names = np.array([*m.langs, "und"], dtype=object)
-        for b in chunks(batches):
+        for b in chunks(batches, rows=ROWS):
             lang, score, rejected = m.predict(*utf8(b.column(1)))
             blank = np.array([not (t and _LETTER.search(t)) for t in b.column(1).to_pylist()]) | (not m.langs)
             lang, score, rejected = np.where(blank, len(m.langs), lang), np.where(blank, 0.0, score), rejected | blank
@@ -178,7 +180,7 @@ def filter_known(docs: DataFrame, model: Centroids, text: str = "text") -> DataF
 
     def run(batches):
         m = shared.value
-        for b in chunks(batches, column=at):
+        for b in chunks(batches, column=at, rows=ROWS):
             *_, rejected = m.predict(*utf8(b.column(at)))
             blank = np.array([not (t and _LETTER.search(t)) for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(~(rejected | blank)))

@@ -10,9 +10,9 @@ its threshold; -1 leaves a partition out. A dynamic program allots the threshold
 partitions select unequally) with the least estimated cost: probes (all keys within the threshold) and
 candidates (from the bits' shares over all fingerprints). The number of partitions is the one of least cost.
 Each distinct fingerprint is sent to the keys that it probes; where rows meet under a key they are verified
-by all their bits. A key's rows yield links enough to connect them, in a dense group about two a
-row, never all pairs. A key with more than ``HOT`` rows is split into blocks, and each pair of blocks is a bucket of its own,
-so that no task gets an unbounded group and no link is lost.
+by all their bits. A key's rows yield links enough to connect them, in dense groups a few
+for each row and never all pairs. A key with more than ``HOT`` rows is split into blocks, and each pair of blocks is a
+bucket of its own, so that no task gets an unbounded group and no link is lost.
 
 Defined results: a text without words has fingerprint zero and links like any other; a null text counts as
 empty; documents without id link too, with null as their component's id only if no member has an id. Equal
@@ -179,52 +179,101 @@ def probes(codes: DataFrame, parts: list[Partition]) -> DataFrame:
     return out
 
 
-def _bucket_links(fp: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect the codes of one bucket which lie within the radius of a code under its own key."""
-    base, links, most = fp[own], [], 2 * len(fp)
-    step = max(1, (1 << 21) // len(fp))
-    for i in range(0, len(base), step):
-        near = np.bitwise_count(base[i : i + step, None] ^ fp[None, :]) <= radius
-        a, b = np.nonzero(near)
-        a = base[i + a]
-        keep = a != fp[b]
-        links += zip(a[keep].tolist(), fp[b][keep].tolist())
-        if len(links) > most:
-            return _sparse(np.unique(fp), radius)
-    return list({(min(x), max(x)) for x in links})
+#: Stands for "no link here" among distances.
+FAR = 255
+#: Links that a code gets in a dense bucket, besides those of the spanning forest; a bucket of fewer gives all.
+EACH = 8
+
+
+@dataclass(frozen=True)
+class Near:
+    """Distances of codes as one partition sees them: pairs beyond the radius, or that meet in a partition before it, are FAR."""
+
+    radius: int
+    before: tuple[tuple[int, int], ...] = ()  # masks and thresholds of the partitions before
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a ^ b
+        out = np.bitwise_count(x)
+        out[out > self.radius] = FAR
+        if self.before and (at := np.nonzero(out != FAR))[0].size:
+            close, met = x[at], np.zeros(at[0].size, bool)
+            for mask, threshold in self.before:
+                met |= np.bitwise_count(close & np.uint64(mask)) <= threshold
+            out[tuple(k[met] for k in at)] = FAR
+        return out
+
+
+def _bucket_links(fp: np.ndarray, own: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Links of one bucket, enough to connect all its codes that link by way of it.
+
+    A pair meets under the keys of both its codes, so a code that only probes here is compared with the lesser
+    codes whose own key this is; the others meet it under its key. A pair that meets in several partitions
+    counts in the first of them.
+    """
+    base, probing = np.unique(fp[own]), np.unique(fp[~own])
+    links, most = [], EACH * len(fp)
+    for rows in (base, probing):
+        step = max(1, (1 << 21) // max(1, len(rows)))
+        for i in range(0, len(base) if len(rows) else 0, step):
+            some = base[i : i + step, None]
+            a, b = np.nonzero((near(some, rows[None, :]) != FAR) & (some < rows[None, :]))
+            links += zip(base[i + a].tolist(), rows[b].tolist())
+            if len(links) > most:
+                return _sparse(base, probing, near)
+    return links
 
 
-def _sparse(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Few links among many close codes: of each to its nearest one, and a spanning forest.
+def _sparse(base: np.ndarray, probing: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Few links among many close codes: a spanning forest of ``base``, and of each code to the nearest ones.
 
     The forest's roots are the most central codes: where many texts are edits of one, its code is in their
     midst, and it is the text that all of them are most alike to.
     """
-    out, total = set(), np.zeros(len(codes), np.int64)
-    step = max(1, (1 << 21) // len(codes))
-    for i in range(0, len(codes), step):
-        apart = np.bitwise_count(codes[i : i + step, None] ^ codes[None, :])
-        total[i : i + step] = apart.sum(axis=1, dtype=np.int64)
-        apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = 65
-        near = apart.argmin(axis=1)
-        ok = apart[np.arange(len(apart)), near] <= radius
-        out |= {(min(x), max(x)) for x in zip(codes[i : i + step][ok].tolist(), codes[near[ok]].tolist())}
-    return list(out | {(min(x), max(x)) for x in _spanning(codes[np.argsort(total, kind="stable")], radius)})
-
-
-def _spanning(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among codes, by breadth-first search from the first of them."""
-    links, left = [], codes
+    total, step, out = np.zeros(len(base), np.int64), max(1, (1 << 21) // len(base)), set()
+    for i in range(0, len(base), step):
+        some = base[i : i + step]
+        total[i : i + step] = np.bitwise_count(some[:, None] ^ base[None, :]).sum(axis=1, dtype=np.int64)
+        apart = near(some[:, None], base[None, :])
+        apart[np.arange(len(some)), np.arange(i, i + len(some))] = FAR
+        for a, b in _nearest(apart.T):
+            out |= {(min(x), max(x)) for x in zip(base[a].tolist(), some[b].tolist())}
+    forest, trees = _spanning(base[np.argsort(total, kind="stable")], near)
+    out |= {(min(x), max(x)) for x in forest}
+    step = max(1, (1 << 21) // max(1, len(probing)))
+    for tree in trees if len(probing) else ():
+        tree = np.array(tree, np.uint64)
+        for i in range(0, len(tree), step):
+            some = tree[i : i + step]
+            apart = near(some[:, None], probing[None, :])
+            apart[some[:, None] > probing[None, :]] = FAR
+            for a, b in _nearest(apart):
+                out |= set(zip(some[a].tolist(), probing[b].tolist()))
+    return list(out)
+
+
+def _nearest(apart: np.ndarray):
+    """(row, column) arrays of the EACH least distances of each column that aren't FAR."""
+    for at in np.argpartition(apart, min(EACH, len(apart)) - 1, axis=0)[:EACH]:
+        ok = np.flatnonzero(apart[at, np.arange(apart.shape[1])] != FAR)
+        yield at[ok], ok
+
+
+def _spanning(codes: np.ndarray, near: Near) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """A spanning forest of the links among codes, by breadth-first search from the first of them; links and trees."""
+    links, trees, left = [], [], codes
     while len(left):
         front, left = [left[0]], left[1:]
+        trees.append([int(front[0])])
         while front and len(left):
             at = front.pop(0)
-            near = np.bitwise_count(left ^ at) <= radius
-            new = left[near]
+            found = near(left, at) != FAR
+            new = left[found]
             links += [(int(at), int(x)) for x in new]
+            trees[-1] += new.tolist()
             front += list(new)
-            left = left[~near]
-    return links
+            left = left[~found]
+    return links, trees
 
 
 def links(codes: DataFrame, parts: list[Partition], radius: int, hot: int = HOT) -> DataFrame:
@@ -241,14 +290,14 @@ def links(codes: DataFrame, parts: list[Partition], radius: int, hot: int = HOT)
     else:
         rows = rows.select("part", "key", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp", "own")
     keys = ["part", "key", "low", "high"]
+    near = [Near(radius, tuple((p.mask, p.threshold) for p in parts[:i])) for i in range(len(parts))]
 
     def run(batches):
-        for part in _whole_groups(batches):
-            cut, fp, own = part
+        for cut, fp, own, part in _whole_groups(batches):
             fp = fp.view(np.uint64)
             sizes = np.diff(cut)
             worth = np.flatnonzero((sizes > 1) & (np.add.reduceat(own, cut[:-1]) > 0)) if len(sizes) else []
-            found = {x for i in worth for x in _bucket_links(fp[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]].astype(bool), radius)}
+            found = {x for i in worth for x in _bucket_links(fp[cut[i] : cut[i + 1]], own[cut[i] : cut[i + 1]].astype(bool), near[part[cut[i]]])}
             if found:
                 u, v = (np.array(x, np.uint64).view(np.int64) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -257,7 +306,7 @@ def links(codes: DataFrame, parts: list[Partition], radius: int, hot: int = HOT)
 
 
 def _whole_groups(batches, least: int = 1 << 18):
-    """Groups of equal (part, key, low, high) in sorted Arrow batches, many at a time: (cuts, fp, own)."""
+    """Groups of equal (part, key, low, high) in sorted Arrow batches, many at a time: (cuts, fp, own, part)."""
     kept: list[list[np.ndarray]] = []
 
     def cut(cols):
@@ -275,13 +324,13 @@ def _whole_groups(batches, least: int = 1 << 18):
             cols = [np.concatenate(c) for c in zip(*kept)]
             at = cut(cols)
             if len(at) > 1:
-                yield at, cols[4][: at[-1]], cols[5][: at[-1]].astype(np.int64)
+                yield at, cols[4][: at[-1]], cols[5][: at[-1]].astype(np.int64), cols[0]
                 kept = [[c[at[-1] :] for c in cols]]
             else:
                 kept = [cols]
     if kept:
         cols = [np.concatenate(c) for c in zip(*kept)]
-        yield np.append(cut(cols), len(cols[0])), cols[4], cols[5].astype(np.int64)
+        yield np.append(cut(cols), len(cols[0])), cols[4], cols[5].astype(np.int64), cols[0]
 
 
 def hexadecimal(fp: str = "fp") -> Column:

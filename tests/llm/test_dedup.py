@@ -115,9 +115,16 @@ def test_links_lose_nothing(spark, radius, hot):
 def test_dense_groups_give_few_links_that_still_connect():
     rng = np.random.default_rng(1)
     codes = np.unique(np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (600, 3)).astype(np.uint64), axis=1))
-    links = simhash._bucket_links(codes, np.ones(len(codes), bool), 8)
-    assert len(links) <= 8 * len(codes)
+    links = simhash._bucket_links(codes, np.ones(len(codes), bool), simhash.Near(8))
+    assert len(links) <= (simhash.EACH + 1) * len(codes)
     assert len(set(groups(codes.tolist(), links).values())) == 1
+    # half of the codes only probe: what links to a lesser code of the others is connected to it
+    own = np.arange(len(codes)) % 2 == 0
+    links = simhash._bucket_links(codes, own, simhash.Near(8))
+    assert len(links) <= (simhash.EACH + 1) * len(codes)
+    of = groups(codes.tolist(), links)
+    near = (np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 8) & own[:, None] & (codes[:, None] < codes[None, :])
+    assert all(of[int(codes[a])] == of[int(codes[b])] for a, b in zip(*np.nonzero(near)))
 
 
 def test_components(spark):
