@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import jaccard
 from .common import checkpoint, chunks
 from .graph import components
 
@@ -359,31 +359,21 @@ def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: s
     return prints.join(ids, "fp").select(key, hexadecimal().alias("fingerprint"), "component_id")
 
 
-#: Radius and likeness of ``near_duplicates``: most pairs of that likeness lie within the radius.
-RADIUS, SIMILARITY = 12, 0.8
+#: Likeness of ``near_duplicates``.
+SIMILARITY = 0.8
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component_id) for each row, by links within the radius whose texts' shingles have that Jaccard likeness.
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, component_id) for each row, by links of texts whose shingles have that Jaccard likeness.
 
-    Fingerprints find the pairs; then one document of each fingerprint in a link is read again, and the link
-    stays if the documents' bottom-k sketches of shingles are alike enough (exact up to k distinct shingles).
-    Documents of equal fingerprints are one class.
+    Fingerprints are a weak guide at such a likeness, so the pairs come from a prefix filter over the shingles
+    and are verified by all of them (``jaccard``). Documents of equal shingle sets are one class.
     """
-    prints = checkpoint(fingerprints(docs, words, text, key))
-    codes = _codes(prints, key)
-    found = checkpoint(links(codes, plan(*bit_counts(codes), radius), radius))
-    ends = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(codes, "fp").select("fp", F.col("least").alias("__least"))
-    read = docs.select(F.col(key).alias("__key"), F.coalesce(text, F.lit("")).alias("__text")).join(ends, F.col("__key") == F.col("__least"))
-    sketches = read.groupBy("fp").agg(F.min("__text").alias("__text")).select("fp", sketch.sketch(F.col("__text"), VERIFY_K, words).alias("s"))
-    sketches = checkpoint(sketches)
-    pairs = found.join(sketches.select(F.col("fp").alias("u"), F.col("s").alias("a")), "u").join(sketches.select(F.col("fp").alias("v"), F.col("s").alias("b")), "v")
-    alike = pairs.where(sketch.resemblance(F.col("a"), F.col("b"), VERIFY_K) >= similarity).select("u", "v")
-    return prints.join(_ids(codes, alike), "fp").select(key, "component_id")
-
-
-#: Hashes in the sketches that links are verified by.
-VERIFY_K = 512
+    prints = checkpoint(jaccard.prefixes(docs, words, similarity, text, key))
+    sets = checkpoint(prints.groupBy("name").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    found = jaccard.links(docs, sets, words, similarity, text, key)
+    codes = sets.select(F.col("name").alias("fp"), "least")
+    return prints.select(key, F.col("name").alias("fp")).join(_ids(codes, found), "fp").select(key, "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
