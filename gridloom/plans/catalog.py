@@ -171,20 +171,20 @@ def spmv_icsr(spark, d):
 
 
 @query(_product("sk", "psr"))
-def spmv_jds(spark, d):
-    m = tables.sk(spark, d)
+def spmv_jds(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return kernels.spmv_jds(m, _parts(m), kernels.ramp(m))
 
 
 @query(_product("sk", "psr"))
-def spmv_hybrid_jds(spark, d):
-    m = tables.sk(spark, d)
+def spmv_hybrid_jds(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return kernels.spmv_hybrid(m, formats.hybrid_jds(m, _parts(m)), kernels.ramp(m))
 
 
 @query(_product("sk", "psr"))
-def spmv_hybrid_csr(spark, d):
-    m = tables.sk(spark, d)
+def spmv_hybrid_csr(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return kernels.spmv_hybrid(m, formats.hybrid_csr(m, _parts(m)), kernels.ramp(m))
 
 
@@ -237,60 +237,60 @@ def dense_rows(spark, d):
 
 
 @query(_sql("sk", "select row_number() over w - 1 as t, case when lag(i) over w is null then j when lag(i) over w = i then j - lag(j) over w else (select count(*) from supplier) + j - lag(j) over w end as delta, val from sk window w as (order by i, j)"))
-def icsr_encode(spark, d):
-    return formats.icsr_encode(tables.sk(spark, d))[0]
+def icsr_encode(spark, d, matrix=tables.sk):
+    return formats.icsr_encode(matrix(spark, d))[0]
 
 
 @query(_sql("sk", "select row_number() over w - 1 as ord, i - coalesce(lag(i) over w, 0) as delta from (select distinct i from sk) window w as (order by i)"))
-def icsr_rows(spark, d):
-    return formats.icsr_encode(tables.sk(spark, d))[1]
+def icsr_rows(spark, d, matrix=tables.sk):
+    return formats.icsr_encode(matrix(spark, d))[1]
 
 
 @query(_sql("sk", "select i, j, val from sk"))
-def icsr_decode(spark, d):
-    m = tables.sk(spark, d)
+def icsr_decode(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.icsr_decode(*formats.icsr_encode(m), m.n_rows, m.n_cols).entries
 
 
 @query(_sql("perm", "select part, r, i, nnz from perm"))
-def jds_permutation(spark, d):
-    m = tables.sk(spark, d)
+def jds_permutation(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.jds_permutation(m, _parts(m))
 
 
 @query(_sql("jds", "select part, k, r, i, j, val from jds"))
-def jds_entries(spark, d):
-    m = tables.sk(spark, d)
+def jds_entries(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.jds_entries(m, _parts(m))
 
 
 @query(_sql("diag", "select part, k, len, coalesce(sum(len) over (partition by part order by k rows between unbounded preceding and 1 preceding), 0)::bigint as ptr from diag"))
-def jds_idiag(spark, d):
-    m = tables.sk(spark, d)
+def jds_idiag(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.jds_idiag(m, _parts(m))
 
 
 @query(_sql("cutj", "select part, opt_col, opt_row from cutj"))
-def hybrid_cut_jds(spark, d):
-    m = tables.sk(spark, d)
+def hybrid_cut_jds(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.cut_jds(m, _parts(m))
 
 
 @query(_sql("cutc", "select part, opt_col, opt_row from cutc"))
-def hybrid_cut_csr(spark, d):
-    m = tables.sk(spark, d)
+def hybrid_cut_csr(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.cut_csr(m, _parts(m))
 
 
 @query(_sql("jds cutj", "select part, k, r, i, j, val, case when k < opt_col then 'JDS' else 'CSR' end as region from jds join cutj using (part)"))
-def hybrid_regions_jds(spark, d):
-    m = tables.sk(spark, d)
+def hybrid_regions_jds(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.hybrid_jds(m, _parts(m))
 
 
 @query(_sql("jds cutc", "select part, k, r, i, j, val, case when r < opt_row then 'CSR' else 'JDS' end as region from jds join cutc using (part)"))
-def hybrid_regions_csr(spark, d):
-    m = tables.sk(spark, d)
+def hybrid_regions_csr(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return formats.hybrid_csr(m, _parts(m))
 
 
@@ -332,14 +332,14 @@ _BLOCKS = "bs as (select p.part, p.n_rows, p.nnz, p.minr, p.avgr, p.maxr, coales
 
 
 @query(_sql("perm diag", "").rstrip() + ", " + _BLOCKS + " select part, n_rows, nnz, minr, round(avgr, 6) as avgr, maxr, minc, round(avgc, 6) as avgc, maxc from bs")
-def jds_block_stats(spark, d):
-    m = tables.sk(spark, d)
+def jds_block_stats(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return _rounded(stats.jds_block_stats(m, _parts(m)), "avgr", "avgc")
 
 
 @query(_sql("perm diag", "").rstrip() + ", " + _BLOCKS + " select " + ", ".join(f"round(avg({c}), 6) as {c}" for c in "minr avgr maxr minc avgc maxc".split()) + " from (select part // 3 as block, " + ", ".join(f"avg({c}) as {c}" for c in "minr avgr maxr minc avgc maxc".split()) + " from bs group by 1)")
-def block_stats_mean(spark, d):
-    m = tables.sk(spark, d)
+def block_stats_mean(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return _rounded(stats.block_means(stats.jds_block_stats(m, _parts(m)), 3), "minr", "avgr", "maxr", "minc", "avgc", "maxc")
 
 
@@ -375,8 +375,8 @@ every as (
 )
 select (row_number() over (order by s) - 1)::integer as part, s as row_start, e as row_end from every"""
 )
-def part_linear(spark, d):
-    return partition.linear(tables.sk(spark, d), TARGET_KB, STEP)
+def part_linear(spark, d, matrix=tables.sk):
+    return partition.linear(matrix(spark, d), TARGET_KB, STEP)
 
 
 @query(
@@ -397,8 +397,8 @@ tree(node_id, level, s, e) as (
 select node_id, case when node_id > 0 then (node_id - 1) // 2 end as parent_id, level, s as row_start, e as row_end,
   not exists (select 1 from tree c where c.node_id = 2 * t.node_id + 1) as is_leaf from tree t"""
 )
-def part_bipartition(spark, d):
-    return partition.bipartition(tables.sk(spark, d), TARGET_KB)
+def part_bipartition(spark, d, matrix=tables.sk):
+    return partition.bipartition(matrix(spark, d), TARGET_KB)
 
 
 @query(_sql("pv", "select k::integer as part, coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint as row_start, sum(n) over (order by k)::bigint as row_end from (select r.k, count(pv.i) as n from (select unnest(range(5)) as k) r left join pv on pv.part = r.k group by r.k)"))
@@ -440,8 +440,8 @@ def reorder_vector(spark, d):
 
 
 @query(_sql("nz", f"select i as idx, i - part * {SLICE} + start as new_idx from nz join (select part, coalesce(sum(n) over (order by top desc, part rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select part, max(nnz) as top, count(*) as n from nz group by part)) using (part)"))
-def order_blocks(spark, d):
-    m = tables.sk(spark, d)
+def order_blocks(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return partition.order_blocks(m, partition.static_slices(m, SLICE))
 
 
@@ -449,8 +449,8 @@ _PINS = "pins as (select distinct e.j, pv.part from sk e join pv on pv.i = e.i)"
 
 
 @query(_sql("sk pv", "").rstrip() + f", {_PINS} select s.s_suppkey as j, (case when count(p.part) = 0 then 0 when count(p.part) = 1 then min(p.part) else 5 end)::integer as part from supplier s left join pins p on p.j = s.s_suppkey group by 1")
-def net_part(spark, d):
-    m = tables.sk(spark, d)
+def net_part(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return partition.net_parts(m, _vector_parts(m), 5)
 
 
@@ -458,26 +458,26 @@ _CUT = "select count(*) filter (n > 1) as cut_nets, coalesce(sum(n - 1), 0)::big
 
 
 @query(_sql("sk pv", "").rstrip() + f", {_PINS} select cut_nets from ({_CUT})")
-def cut_nets(spark, d):
-    m = tables.sk(spark, d)
+def cut_nets(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return partition.cut_metrics(m, _vector_parts(m)).select("cut_nets")
 
 
 @query(_sql("sk pv", "").rstrip() + f", {_PINS} select cutsize from ({_CUT})")
-def connectivity_cutsize(spark, d):
-    m = tables.sk(spark, d)
+def connectivity_cutsize(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return partition.cut_metrics(m, _vector_parts(m)).select("cutsize")
 
 
 @query(_sql("sk pv", "select max(w)::bigint as max_weight, round((max(w) / (sum(w) / 5) - 1) * 100, 6)::double as imbalance_pct from (select pv.part, sum(n) as w from (select i, count(*) as n from sk group by i) e join pv on pv.i = e.i group by pv.part)"))
-def imbalance(spark, d):
-    m = tables.sk(spark, d)
+def imbalance(spark, d, matrix=tables.sk):
+    m = matrix(spark, d)
     return _rounded(partition.imbalance(m, _vector_parts(m), 5), "imbalance_pct")
 
 
 @query()
-def hypergraph_partition(spark, d):
-    return partition.hypergraph(tables.sk(spark, d), 4)
+def hypergraph_partition(spark, d, matrix=tables.sk):
+    return partition.hypergraph(matrix(spark, d), 4)
 
 
 @query(_sql("", f"select * from (values {', '.join(f'({k}::bigint, {n}::bigint)' for k, n in enumerate([2, 3, 3, 3]))}) t(block, parts)").replace("with  ", ""))
@@ -527,8 +527,8 @@ def assign_parts(spark, d):
 
 
 @query()
-def assign_tree(spark, d):
-    return assign.tree(partition.bipartition(tables.sk(spark, d), TARGET_KB), WORKERS)
+def assign_tree(spark, d, matrix=tables.sk):
+    return assign.tree(partition.bipartition(matrix(spark, d), TARGET_KB), WORKERS)
 
 
 def _blocks(m: SparseMatrix) -> DataFrame:
@@ -545,6 +545,25 @@ def merge_adjacent(spark, d):
     return assign.merge_adjacent(_blocks(tables.ps(spark, d)))
 
 
+# --- the queries over ``sk`` on the whole of ``ps``, and dense rows of a whole matrix
+
+
+def _on_ps(name: str) -> None:
+    """Register ``name``_ps: the query over ``ps`` in place of ``sk``, and its SQL likewise."""
+    over_sk = QUERIES[name]
+
+    def run(spark, d):
+        return over_sk(spark, d, tables.ps)
+
+    run.__name__ = f"{name}_ps"
+    sql = ORACLE_SQL.get(name)
+    query(sql.replace(_WITH["sk"], "sk as (select i, j, val from ps)") if sql else None)(run)
+
+
+for _name in [n for n, f in QUERIES.items() if "matrix" in f.__code__.co_varnames[: f.__code__.co_argcount]]:
+    _on_ps(_name)
+
+
 # --- vectors and solvers
 
 
