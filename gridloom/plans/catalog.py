@@ -564,6 +564,13 @@ for _name in [n for n, f in QUERIES.items() if "matrix" in f.__code__.co_varname
     _on_ps(_name)
 
 
+@query("select c_custkey as i, string_agg(case when c_nationkey = n_nationkey then '1' else '0' end, ' ' order by n_nationkey) as line from customer, nation group by 1")
+def dense_rows_cn(spark, d):
+    m = tables.cn(spark, d)
+    rows = formats.dense_rows(m, 0, m.n_rows)
+    return rows.select("i", F.array_join(F.transform("vals", lambda v: v.cast("bigint").cast("string")), " ").alias("line"))
+
+
 # --- vectors and solvers
 
 

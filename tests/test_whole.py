@@ -10,3 +10,9 @@ def test_queries_over_ps_have_all_entries(spark):
     for name in ("icsr_encode_ps", "icsr_decode_ps", "jds_entries_ps", "hybrid_regions_jds_ps", "hybrid_regions_csr_ps"):
         assert catalog.QUERIES[name](spark, DATA).count() == n
     assert sum("matrix" in f.__code__.co_varnames[: f.__code__.co_argcount] for f in catalog.QUERIES.values()) == sum(k.endswith("_ps") for k in catalog.QUERIES)
+
+
+def test_dense_rows_cn_has_all_rows(spark):
+    m = tables.cn(spark, DATA)
+    rows = catalog.QUERIES["dense_rows_cn"](spark, DATA).collect()
+    assert len(rows) == m.n_rows and all(r.line.count("1") == 1 and len(r.line.split()) == m.n_cols for r in rows)
