@@ -6,9 +6,9 @@ frequency and scaled to length one. Each language has several centroids, found b
 A text gets the language of the centroid with the greatest cosine; it is *rejected* if that cosine is
 below the language's own distance bound, or if it has no letters at all.
 
-The classifier is fitted on at most ``per_lang`` labelled rows a language (``MAX_ROWS`` in all); the
-document frequencies belong to the classifier and come from those rows. Prediction is one map over the
-rows: no shuffle, memory bounded by one chunk of texts.
+The centroids are fitted on at most ``per_lang`` labelled rows a language, fewer of each where there are many
+languages (about ``MAX_ROWS`` in all); the document frequencies are those of all labelled rows. Prediction is
+one map over the rows: no shuffle, memory bounded by one chunk of texts.
 
 Defined results: null text, empty text and text without letters: ``und``, score 0, rejected. Rows that
 repeat get equal results. With no labelled row every text is ``und``. Other columns of the input are
@@ -117,10 +117,30 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of texts with n-grams (column ``t``), and how many of them hold each n-gram."""
+
+    def run(batches):
+        seen = np.zeros(DIM + 1, np.int64)
+        for b in chunks(batches, column=0, rows=ROWS):
+            has = counts(*utf8(b.column(0))) > 0
+            seen[:-1] += has.sum(axis=0)
+            seen[-1] += has.any(axis=1).sum()
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["at", "n"])
+
+    sums = np.zeros(DIM + 1)
+    for at, n in texts.select("t").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+        sums[at] = n
+    return int(sums[-1]), sums[:-1]
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> Centroids:
-    """Fit on a bounded sample of the labelled rows of ``docs``. The executors make the n-gram counts."""
+    """Fit centroids on a bounded sample of the labelled rows of ``docs``, with the document frequencies of all. The executors make the n-gram counts."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    picked = bounded_sample(known, "k", "l", per_lang).limit(MAX_ROWS).select("l", "t")
+    # the sample has up to 1.2 times what it is asked for
+    most = max(1, min(per_lang, int(MAX_ROWS / 1.2 / max(1, known.select("l").distinct().count()))))
+    picked = bounded_sample(known, "k", "l", most).select("l", "t")
 
     def sparse(batches):
         for b in chunks(batches, rows=ROWS):
@@ -134,12 +154,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     if not rows:
         return Centroids([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
     x = np.zeros((len(rows), DIM), np.float32)
-    seen = np.zeros(DIM)
     for i, (_, at, c) in enumerate(rows):
         at = np.frombuffer(at, np.uint16)
         x[i, at] = np.frombuffer(c, np.float32)
-        seen[at] += 1
-    idf = np.log((1 + len(x)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    n, seen = frequencies(known)
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(1)
     np.log1p(x, out=x)
     x *= idf
     for row in x:
