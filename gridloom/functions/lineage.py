@@ -1,18 +1,50 @@
-"""Cutting the lineage of loops, in the folder that the cluster names."""
+"""Cutting the lineage of loops, and tables in between, in the folder that the cluster names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the folder that was set by code; one of our own only on a local master.
+
+    Raises where executors run elsewhere and no folder is named: a guess could be a disk that they don't share.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return "/tmp/checkpoints/gridloom"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/gridloom")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most so many rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's program ends if ``delete`` hasn't done so before."""
+    path = f"{shared_folder(spark)}/gridloom-{uuid.uuid4().hex}"
+    atexit.register(_delete_late, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_late(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # the session has ended
+        pass
+

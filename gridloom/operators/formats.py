@@ -1,7 +1,7 @@
 """Storage formats as relations: compressed rows and columns, delta-encoded rows, jagged diagonals, hybrids.
 
-Row pointers and orderings over the whole matrix come from block-wise scans (``functions.scan``); only what
-a row, a column or a part holds is ordered in one window.
+Row pointers, orderings and the numbers of entries in their rows come from block-wise scans
+(``functions.scan``), so that neither the matrix nor one very long row is a window of its own.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scan import lag, prefix_sum
+from ..functions.scan import BLOCK, explode_ranges, lag, number_within, prefix_sum
 from .matrix import SparseMatrix
 
 
@@ -26,7 +26,7 @@ def col_nnz(m: SparseMatrix) -> DataFrame:
 
 def row_ptr(m: SparseMatrix) -> DataFrame:
     """(i, ptr): the entries before each row."""
-    return prefix_sum(row_nnz(m), "i", "nnz", "upto").select("i", (F.col("upto") - F.col("nnz")).alias("ptr"))
+    return prefix_sum(row_nnz(m), "i", "nnz", "upto", most=m.n_rows).select("i", (F.col("upto") - F.col("nnz")).alias("ptr"))
 
 
 def col_ptr(m: SparseMatrix) -> DataFrame:
@@ -35,8 +35,12 @@ def col_ptr(m: SparseMatrix) -> DataFrame:
 
 def csr(m: SparseMatrix) -> DataFrame:
     """(t, i, j, val): entries numbered in the order of rows and, in a row, columns."""
-    k = F.row_number().over(Window.partitionBy("i").orderBy("j", "val")) - 1
-    return m.entries.withColumn("k", k).join(row_ptr(m), "i").select((F.col("ptr") + F.col("k")).alias("t"), "i", "j", "val")
+    return numbered(m).join(row_ptr(m), "i").select((F.col("ptr") + F.col("k")).alias("t"), "i", "j", "val")
+
+
+def numbered(m: SparseMatrix) -> DataFrame:
+    """Entries with ``k``, their number in the row by column."""
+    return number_within(m.entries.select("i", "j", "val"), "i", "j", ("val",), "k", m.n_cols)
 
 
 def csc(m: SparseMatrix) -> DataFrame:
@@ -65,17 +69,45 @@ def icsr_encode(m: SparseMatrix) -> tuple[DataFrame, DataFrame]:
     A column's delta is to the entry before; one in a new row adds the number of columns, so that the
     running sum tells both the row's ordinal and the column.
     """
-    e = lag(csr(m), "t", {"i": "i0", "j": "j0"})
-    step = F.col("j") - F.col("j0")
-    delta = F.when(F.col("i0").isNull(), F.col("j")).when(F.col("i") == F.col("i0"), step).otherwise(step + m.n_cols)
-    rows = lag(m.entries.select("i").distinct(), "i", {"i": "i0"}).withColumn("one", F.lit(1).cast("long"))
-    rows = prefix_sum(rows, "i", "one", "n").select((F.col("n") - 1).alias("ord"), (F.col("i") - F.coalesce("i0", F.lit(0))).alias("delta"))
-    return e.select("t", delta.alias("delta"), "val"), rows
+    cols, rows = icsr_encode_parts(m)
+    return cols.select("t", "delta", "val"), rows.select("ord", "delta")
+
+
+def icsr_encode_parts(m: SparseMatrix, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The encoding of each part by itself: (part, t, delta, val) and (part, ord, delta); parts is (i, part), of contiguous rows.
+
+    Rows keep their indices, so a part's first row delta is its first row that isn't empty. What is before a
+    row's first entry is the last column of the row before, one row a row; only the entries of one row
+    meet in a window, by blocks of columns.
+    """
+    of = m.rows().select("i", F.lit(0).alias("part")) if parts is None else parts.select("i", "part")
+    whole = row_nnz(m).join(m.entries.groupBy("i").agg(F.max("j").alias("last")), "i").join(of, "i")
+    whole = prefix_sum(whole, "i", "nnz", "upto", most=m.n_rows, by=("part",)).withColumn("one", F.lit(1).cast("long"))
+    whole = prefix_sum(whole, "i", "one", "n", most=m.n_rows, by=("part",))
+    whole = lag(whole, "i", {"i": "i0", "last": "last0", "part": "part0"}, most=m.n_rows)
+    same = F.col("part0") == F.col("part")
+    rows = whole.select("part", (F.col("n") - 1).alias("ord"), (F.col("i") - F.when(same, F.col("i0")).otherwise(0)).alias("delta"))
+    start = whole.select("i", "part", (F.col("upto") - F.col("nnz")).alias("ptr"), F.when(same, F.col("last0")).alias("last0"))
+    e = _before(m).join(start, "i")
+    delta = F.when(F.col("k") > 0, F.col("j") - F.col("j0")).when(F.col("last0").isNull(), F.col("j")).otherwise(F.col("j") - F.col("last0") + m.n_cols)
+    return e.select("part", (F.col("ptr") + F.col("k")).alias("t"), delta.alias("delta"), "val"), rows
+
+
+def _before(m: SparseMatrix, block: int = BLOCK) -> DataFrame:
+    """(i, j, val, k, j0): entries with their number in the row and the column of the one before (null for the first)."""
+    e = numbered(m)
+    if m.n_cols <= block:
+        return e.withColumn("j0", F.lag("j").over(Window.partitionBy("i").orderBy("k")))
+    e = e.withColumn("b", F.floor(F.col("j") / block))
+    last = Window.partitionBy("i").orderBy("b")
+    carried = e.groupBy("i", "b").agg(F.max("j").alias("top")).withColumn("c0", F.lag("top").over(last)).select("i", "b", "c0")
+    e = e.withColumn("p0", F.lag("j").over(Window.partitionBy("i", "b").orderBy("k"))).join(carried, ["i", "b"])
+    return e.select("i", "j", "val", "k", F.coalesce("p0", "c0").alias("j0"))
 
 
 def icsr_decode(cols: DataFrame, rows: DataFrame, n_rows: int, n_cols: int) -> SparseMatrix:
     c = prefix_sum(cols, "t", "delta", "at").select(F.floor(F.col("at") / n_cols).cast("long").alias("ord"), (F.col("at") % n_cols).alias("j"), "val")
-    r = prefix_sum(rows, "ord", "delta", "i").select("ord", "i")
+    r = prefix_sum(rows, "ord", "delta", "i", most=n_rows).select("ord", "i")
     return SparseMatrix(c.join(r, "ord").select("i", "j", "val"), n_rows, n_cols)
 
 
@@ -90,20 +122,23 @@ def jds_permutation(m: SparseMatrix, parts: DataFrame) -> DataFrame:
 
 def jds_entries(m: SparseMatrix, parts: DataFrame) -> DataFrame:
     """(part, k, r, i, j, val): the k-th entry of the r-th row."""
-    k = F.row_number().over(Window.partitionBy("i").orderBy("j", "val")) - 1
-    return m.entries.withColumn("k", k.cast("long")).join(jds_permutation(m, parts).select("part", "r", "i"), "i").select("part", "k", "r", "i", "j", "val")
+    return numbered(m).join(jds_permutation(m, parts).select("part", "r", "i"), "i").select("part", "k", "r", "i", "j", "val")
 
 
 def jds_idiag(m: SparseMatrix, parts: DataFrame) -> DataFrame:
-    """(part, k, len, ptr): the diagonals' lengths and starts."""
+    """(part, k, len, ptr): the diagonals' lengths and starts.
+
+    Diagonals of one length follow each other, as many as two row lengths of a part are apart: a part has a step
+    for each of its row lengths, and a diagonal's start follows from its step's.
+    """
     # a part's k-th diagonal has a place for each row of more than k entries
     sizes = row_nnz(m).join(parts, "i").groupBy("part", "nnz").agg(F.count("*").alias("rows"))
     longer = F.sum("rows").over(Window.partitionBy("part").orderBy(F.col("nnz").desc()))
     below = F.lead("nnz", 1, 0).over(Window.partitionBy("part").orderBy(F.col("nnz").desc()))
     steps = sizes.where("nnz > 0").select("part", "nnz", longer.alias("len"), below.alias("below"))
-    diagonals = steps.select("part", "len", F.explode(F.sequence(F.col("below"), F.col("nnz") - 1)).alias("k"))
-    upto = F.sum("len").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return diagonals.select("part", "k", "len", (upto - F.col("len")).alias("ptr"))
+    held = F.sum(F.col("len") * (F.col("nnz") - F.col("below"))).over(Window.partitionBy("part").orderBy("nnz").rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("first", F.coalesce(held, F.lit(0)))
+    return explode_ranges(steps, "below", "nnz", "k").select("part", "k", "len", (F.col("first") + (F.col("k") - F.col("below")) * F.col("len")).alias("ptr"))
 
 
 def _least(candidates: DataFrame, cost, at: str, *out: str) -> DataFrame:

@@ -26,7 +26,8 @@ def ramp(m: SparseMatrix, n: int | None = None) -> DataFrame:
     return m.spark.range(m.n_cols if n is None else n).select(F.col("id").alias("idx"), (F.col("id") % 10).cast("double").alias("v"))
 
 
-def _with_x(entries: DataFrame, x: DataFrame, n: int) -> DataFrame:
+def with_x(entries: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """Entries with ``v``, the vector's element of their column."""
     x = x.select(F.col("idx").alias("j"), "v")
     return entries.join(F.broadcast(x) if n <= BROADCAST else x, "j")
 
@@ -36,7 +37,7 @@ def _all_rows(m: SparseMatrix, sums: DataFrame) -> DataFrame:
 
 
 def _sum(m: SparseMatrix, entries: DataFrame, x: DataFrame) -> DataFrame:
-    return _with_x(entries, x, m.n_cols).groupBy("i").agg(F.sum(F.col("val") * F.col("v")).alias("y"))
+    return with_x(entries, x, m.n_cols).groupBy("i").agg(F.sum(F.col("val") * F.col("v")).alias("y"))
 
 
 def spmv(m: SparseMatrix, x: DataFrame) -> DataFrame:
@@ -65,14 +66,14 @@ def spmv_icsr(m: SparseMatrix, x: DataFrame) -> DataFrame:
 
 def spmv_jds(m: SparseMatrix, parts: DataFrame, x: DataFrame) -> DataFrame:
     """Sums by permuted row, gathered to the original order."""
-    y = _with_x(formats.jds_entries(m, parts), x, m.n_cols).groupBy("part", "r").agg(F.sum(F.col("val") * F.col("v")).alias("y"))
+    y = with_x(formats.jds_entries(m, parts), x, m.n_cols).groupBy("part", "r").agg(F.sum(F.col("val") * F.col("v")).alias("y"))
     back = formats.jds_permutation(m, parts).select("part", "r", "i")
     return _all_rows(m, y.join(back, ["part", "r"]).select("i", "y"))
 
 
 def spmv_hybrid(m: SparseMatrix, regions: DataFrame, x: DataFrame) -> DataFrame:
     """The regions' sums added; ``regions`` is a hybrid relation with i, j, val and region."""
-    y = _with_x(regions, x, m.n_cols).groupBy("i").agg(*[F.sum(F.when(F.col("region") == r, F.col("val") * F.col("v"))).alias(r) for r in ("JDS", "CSR")])
+    y = with_x(regions, x, m.n_cols).groupBy("i").agg(*[F.sum(F.when(F.col("region") == r, F.col("val") * F.col("v"))).alias(r) for r in ("JDS", "CSR")])
     return _all_rows(m, y.select("i", (F.coalesce("JDS", F.lit(0.0)) + F.coalesce("CSR", F.lit(0.0))).alias("y")))
 
 

@@ -50,10 +50,14 @@ class SparseMatrix:
         """Entries of equal coordinates summed."""
         return self.with_entries(self.entries.groupBy("i", "j").agg(F.sum("val").alias("val")))
 
-    def sub(self, row_start: int, col_start: int, row_len: int, col_len: int) -> SparseMatrix:
-        """The entries of a rectangle, with their own indices."""
+    def sub(self, row_start: int, col_start: int, row_len: int, col_len: int, local: bool = False) -> SparseMatrix:
+        """The entries of a rectangle, with their own indices, or as a matrix of its size with ``local`` ones."""
         inside = F.col("i").between(row_start, row_start + row_len - 1) & F.col("j").between(col_start, col_start + col_len - 1)
-        return self.with_entries(self.entries.where(inside))
+        found = self.with_entries(self.entries.where(inside))
+        if not local:
+            return found
+        rows, cols = max(0, min(row_len, self.n_rows - row_start)), max(0, min(col_len, self.n_cols - col_start))
+        return SparseMatrix(found.entries.withColumns({"i": F.col("i") - row_start, "j": F.col("j") - col_start}), rows, cols)
 
     def sub_nnz(self, row_start: int, col_start: int, row_len: int, col_len: int) -> int:
         return self.sub(row_start, col_start, row_len, col_len).entries.count() if row_len > 0 and col_len > 0 else 0
@@ -67,21 +71,21 @@ class SparseMatrix:
 
     def get(self, points: DataFrame) -> DataFrame:
         """(i, j, val) at each of ``points`` (i, j); 0.0 where there is no entry."""
-        found = self.entries.groupBy("i", "j").agg(F.min("val").alias("val"))
+        asked = self.entries.join(points.select("i", "j").distinct(), ["i", "j"], "left_semi")
+        found = asked.groupBy("i", "j").agg(F.min("val").alias("val"))
         return points.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("val", F.lit(0.0)).alias("val"))
 
     def pattern_coefficients(self) -> SparseMatrix:
         """Each entry becomes 1 / nnz of its row, in single precision."""
-        from pyspark.sql import Window
-
-        share = F.lit(1.0) / F.count("*").over(Window.partitionBy("i"))
-        return self.with_entries(self.entries.select("i", "j", share.cast("float").cast("double").alias("val")))
+        sizes = self.entries.groupBy("i").agg(F.count("*").alias("n"))
+        share = F.lit(1.0) / F.col("n")
+        return self.with_entries(self.entries.join(sizes, "i").select("i", "j", share.cast("float").cast("double").alias("val")))
 
     def pattern_coefficients_by_run(self, order: Column) -> SparseMatrix:
         """The same by runs of equal rows in file order; ``order`` numbers the entries 0, 1, 2, ..."""
         from ..functions.scan import lag, prefix_sum
 
-        rows = lag(self.entries.withColumn("at", order), "at", {"i": "before"})
+        rows = lag(self.entries.withColumn("at", order.cast("long")), "at", {"i": "before"})
         rows = prefix_sum(rows.withColumn("new", (~F.col("i").eqNullSafe(F.col("before"))).cast("long")), "at", "new", "run")
         sizes = rows.groupBy("run").agg(F.count("*").alias("n"))
         share = (F.lit(1.0) / F.col("n")).cast("float").cast("double")

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch
 from ..operators import assign, formats, kernels, partition, solvers, stats, vector
 from ..operators.matrix import SparseMatrix, compose
+from ..sources import mtx
 from . import planner, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,26 +23,27 @@ ORACLE_SQL: dict[str, str] = {}
 #: Rows of a part in queries over parts; KB of a part in those that cut by size; workers; rows of a step.
 SLICE, TARGET_KB, WORKERS, STEP = 100, 4.0, 7, 8
 
+_N = "(select count(*) from part)"
+
 _WITH = {
     "ps": "ps as (select l_partkey as i, l_suppkey as j, sum(l_quantity)::double as val from lineitem group by 1, 2)",
     "psr": "psr as (select p_partkey as i from part)",
     "op": "op as (select l_orderkey as i, l_partkey as j, l_quantity::double as val from lineitem)",
     "opr": "opr as (select o_orderkey as i from orders)",
     "cn": "cn as (select c_custkey as i, c_nationkey::bigint as j, 1.0::double as val from customer)",
-    "sk": "sk as (select i, j, val from (select *, row_number() over (partition by i order by j) as k from ps) where k <= case when i % 50 = 0 then 1000 else 1 + i % 3 end)",
     "ss": "ss as (select i, j, sum(val)::double as val from (select a.j as i, b.j as j, a.val * b.val as val from ps a join ps b on a.i = b.i union all select s_suppkey, s_suppkey, 1.0 from supplier) group by 1, 2)",
     "low": "low as (select * from ps where j <= i and i < (select count(*) from supplier))",
-    # rows of the skewed matrix with their entries, and what follows from the jagged order in parts
-    "nz": f"nz as (select r.i, r.i // {SLICE} as part, count(e.j) as nnz from psr r left join sk e on e.i = r.i group by r.i)",
+    # rows of the matrix with their entries, and what follows from the jagged order in parts
+    "nz": f"nz as (select r.i, r.i // {SLICE} as part, count(e.j) as nnz from psr r left join ps e on e.i = r.i group by r.i)",
     "perm": "perm as (select part, row_number() over (partition by part order by nnz desc, i) - 1 as r, i, nnz from nz)",
-    "jds": "jds as (select p.part, row_number() over (partition by e.i order by e.j) - 1 as k, p.r, e.i, e.j, e.val from sk e join perm p on p.i = e.i)",
+    "jds": "jds as (select p.part, row_number() over (partition by e.i order by e.j) - 1 as k, p.r, e.i, e.j, e.val from ps e join perm p on p.i = e.i)",
     "diag": "diag as (select part, k, count(*) as len from jds group by part, k)",
     "cutj": "cutj as (select part, k as opt_col, len as opt_row from (select *, row_number() over (partition by part order by k + len, k desc) as n from (select * from diag union all select part, max(k) + 1, 0 from diag group by part)) where n = 1)",
     "cutc": "cutc as (select part, nnz as opt_col, r as opt_row from (select *, row_number() over (partition by part order by r + nnz, r desc) as n from (select part, r, nnz from perm union all select part, max(r) + 1, 0 from perm group by part)) where n = 1)",
     "vec": "vec as (select p_partkey as idx, (p_partkey % 10)::double as a, (p_partkey % 7)::double as b from part)",
     "pv": "pv as (select p_partkey as i, (p_partkey * 7 + p_partkey // 3) % 5 as part from part)",
 }
-_NEEDS = {"sk": "ps", "ss": "ps", "low": "ps", "nz": "psr sk", "perm": "nz", "jds": "sk perm", "diag": "jds", "cutj": "diag", "cutc": "perm"}
+_NEEDS = {"ss": "ps", "low": "ps", "nz": "psr ps", "perm": "nz", "jds": "ps perm", "diag": "jds", "cutj": "diag", "cutc": "perm"}
 
 
 def _sql(names: str, body: str, recursive: bool = False) -> str:
@@ -170,21 +173,21 @@ def spmv_icsr(spark, d):
     return kernels.spmv_icsr(m, kernels.ramp(m))
 
 
-@query(_product("sk", "psr"))
-def spmv_jds(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_product("ps", "psr"))
+def spmv_jds(spark, d):
+    m = tables.ps(spark, d)
     return kernels.spmv_jds(m, _parts(m), kernels.ramp(m))
 
 
-@query(_product("sk", "psr"))
-def spmv_hybrid_jds(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_product("ps", "psr"))
+def spmv_hybrid_jds(spark, d):
+    m = tables.ps(spark, d)
     return kernels.spmv_hybrid(m, formats.hybrid_jds(m, _parts(m)), kernels.ramp(m))
 
 
-@query(_product("sk", "psr"))
-def spmv_hybrid_csr(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_product("ps", "psr"))
+def spmv_hybrid_csr(spark, d):
+    m = tables.ps(spark, d)
     return kernels.spmv_hybrid(m, formats.hybrid_csr(m, _parts(m)), kernels.ramp(m))
 
 
@@ -200,6 +203,65 @@ def spmtv(spark, d):
     return kernels.spmv_t(m, kernels.ramp(m, m.n_rows))
 
 
+@query(_sql("ps", "select r.i, coalesce(sum(e.val * ((e.j - 2) % 10)), 0.0)::double as y from (select unnest(range(150)) as i) r left join ps e on e.i = r.i + 20 and e.j >= 2 and e.j < 9 group by r.i"))
+def spmv_submatrix(spark, d):
+    m = tables.ps(spark, d).sub(20, 2, 150, 7, local=True)
+    return kernels.spmv(m, kernels.ramp(m))
+
+
+def _planned(spark, d, *options: str) -> DataFrame:
+    m = tables.ps(spark, d)
+    o = planner.Options.parse(["matrix=ps", "num_blocks=2", "threads_per_block=2", f"targeted_cache_size_kb={int(TARGET_KB)}", *options])
+    return planner.prepare(m, o).product(kernels.ramp(m))
+
+
+@query(_product("ps", "psr"))
+def spmv_row_net(spark, d):
+    return _planned(spark, d, "ordering_type=row_net", "storage_format=JDS")
+
+
+@query(_product("ps", "psr"))
+def spmv_column_net(spark, d):
+    return _planned(spark, d, "ordering_type=column_net", "storage_format=HYBRID_JDS_CSR")
+
+
+# --- files
+
+
+@query(_sql("ps", "select i, j, val from ps"))
+def mtx_roundtrip(spark, d):
+    path = scratch(spark)
+    mtx.write_mtx(tables.ps(spark, d), path)
+    return mtx.read_mtx(spark, path)[0].entries
+
+
+@query(_sql("vec", "select idx, a + b as v from vec"))
+def vector_roundtrip(spark, d):
+    path = scratch(spark)
+    mtx.write_vector(vector.add(*_two(spark, d)[1:]), path)
+    return mtx.read_vector(spark, path)
+
+
+@query("select p_partkey as idx, row_number() over (order by (p_partkey * 7 + p_partkey // 3) % 5, p_partkey) - 1 as new_idx from part")
+def order_roundtrip(spark, d):
+    path = scratch(spark)
+    order = partition.order_from_part_vector(_vector_parts(tables.ps(spark, d)), 5)
+    mtx.write_vector(order.select("idx", F.col("new_idx").alias("v")), path, None)
+    return mtx.read_order(spark, path)
+
+
+@query(_sql("ps", f"select (i * 4 // {_N})::integer as part, i - ((i * 4 // {_N}) * {_N} + 3) // 4 as i, j, val from ps"))
+def parts_roundtrip(spark, d):
+    m, path = tables.ps(spark, d), scratch(spark)
+    bounds = [-(-k * m.n_rows // 4) for k in range(5)]
+    mtx.write_parts(m, spark.createDataFrame([(k, bounds[k], bounds[k + 1]) for k in range(4)], "part int, row_start long, row_end long"), path)
+    out = None
+    for k in range(4):
+        rows = mtx.read_mtx(spark, f"{path}/part={k}")[0].entries.select(F.lit(k).alias("part"), "i", "j", "val")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- formats
 
 
@@ -229,68 +291,67 @@ def csr_packed(spark, d):
     return rows.select("i", "segment", F.array_join(F.col("cols").cast("array<string>"), ",").alias("cols"), F.array_join(F.col("vals").cast("array<bigint>").cast("array<string>"), ",").alias("vals"))
 
 
-@query(_sql("ps", "select i, string_agg(coalesce(e.val, 0)::bigint::varchar, ' ' order by j) as line from (select p_partkey as i, s_suppkey as j from part, supplier where p_partkey < 12) left join ps e using (i, j) group by i"))
-def dense_rows(spark, d):
-    # a rendering of the first rows, which is what it is for
-    rows = formats.dense_rows(tables.ps(spark, d).sub(0, 0, 12, 1 << 40), 0, 12)
-    return rows.select("i", F.array_join(F.transform("vals", lambda v: v.cast("bigint").cast("string")), " ").alias("line"))
+@query(_sql("ps", "select row_number() over w - 1 as t, case when lag(i) over w is null then j when lag(i) over w = i then j - lag(j) over w else (select count(*) from supplier) + j - lag(j) over w end as delta, val from ps window w as (order by i, j)"))
+def icsr_encode(spark, d):
+    return formats.icsr_encode(tables.ps(spark, d))[0]
 
 
-@query(_sql("sk", "select row_number() over w - 1 as t, case when lag(i) over w is null then j when lag(i) over w = i then j - lag(j) over w else (select count(*) from supplier) + j - lag(j) over w end as delta, val from sk window w as (order by i, j)"))
-def icsr_encode(spark, d, matrix=tables.sk):
-    return formats.icsr_encode(matrix(spark, d))[0]
+@query(_sql("ps", "select row_number() over w - 1 as ord, i - coalesce(lag(i) over w, 0) as delta from (select distinct i from ps) window w as (order by i)"))
+def icsr_rows(spark, d):
+    return formats.icsr_encode(tables.ps(spark, d))[1]
 
 
-@query(_sql("sk", "select row_number() over w - 1 as ord, i - coalesce(lag(i) over w, 0) as delta from (select distinct i from sk) window w as (order by i)"))
-def icsr_rows(spark, d, matrix=tables.sk):
-    return formats.icsr_encode(matrix(spark, d))[1]
+@query(_sql("ps", f"select i // {SLICE} as part, row_number() over w - 1 as t, case when lag(i) over w is null then j when lag(i) over w = i then j - lag(j) over w else (select count(*) from supplier) + j - lag(j) over w end as delta, val from ps window w as (partition by i // {SLICE} order by i, j)"))
+def icsr_encode_parts(spark, d):
+    m = tables.ps(spark, d)
+    return formats.icsr_encode_parts(m, _parts(m))[0]
 
 
-@query(_sql("sk", "select i, j, val from sk"))
-def icsr_decode(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_sql("ps", "select i, j, val from ps"))
+def icsr_decode(spark, d):
+    m = tables.ps(spark, d)
     return formats.icsr_decode(*formats.icsr_encode(m), m.n_rows, m.n_cols).entries
 
 
 @query(_sql("perm", "select part, r, i, nnz from perm"))
-def jds_permutation(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def jds_permutation(spark, d):
+    m = tables.ps(spark, d)
     return formats.jds_permutation(m, _parts(m))
 
 
 @query(_sql("jds", "select part, k, r, i, j, val from jds"))
-def jds_entries(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def jds_entries(spark, d):
+    m = tables.ps(spark, d)
     return formats.jds_entries(m, _parts(m))
 
 
 @query(_sql("diag", "select part, k, len, coalesce(sum(len) over (partition by part order by k rows between unbounded preceding and 1 preceding), 0)::bigint as ptr from diag"))
-def jds_idiag(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def jds_idiag(spark, d):
+    m = tables.ps(spark, d)
     return formats.jds_idiag(m, _parts(m))
 
 
 @query(_sql("cutj", "select part, opt_col, opt_row from cutj"))
-def hybrid_cut_jds(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def hybrid_cut_jds(spark, d):
+    m = tables.ps(spark, d)
     return formats.cut_jds(m, _parts(m))
 
 
 @query(_sql("cutc", "select part, opt_col, opt_row from cutc"))
-def hybrid_cut_csr(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def hybrid_cut_csr(spark, d):
+    m = tables.ps(spark, d)
     return formats.cut_csr(m, _parts(m))
 
 
 @query(_sql("jds cutj", "select part, k, r, i, j, val, case when k < opt_col then 'JDS' else 'CSR' end as region from jds join cutj using (part)"))
-def hybrid_regions_jds(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def hybrid_regions_jds(spark, d):
+    m = tables.ps(spark, d)
     return formats.hybrid_jds(m, _parts(m))
 
 
 @query(_sql("jds cutc", "select part, k, r, i, j, val, case when r < opt_row then 'CSR' else 'JDS' end as region from jds join cutc using (part)"))
-def hybrid_regions_csr(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def hybrid_regions_csr(spark, d):
+    m = tables.ps(spark, d)
     return formats.hybrid_csr(m, _parts(m))
 
 
@@ -332,34 +393,31 @@ _BLOCKS = "bs as (select p.part, p.n_rows, p.nnz, p.minr, p.avgr, p.maxr, coales
 
 
 @query(_sql("perm diag", "").rstrip() + ", " + _BLOCKS + " select part, n_rows, nnz, minr, round(avgr, 6) as avgr, maxr, minc, round(avgc, 6) as avgc, maxc from bs")
-def jds_block_stats(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def jds_block_stats(spark, d):
+    m = tables.ps(spark, d)
     return _rounded(stats.jds_block_stats(m, _parts(m)), "avgr", "avgc")
 
 
 @query(_sql("perm diag", "").rstrip() + ", " + _BLOCKS + " select " + ", ".join(f"round(avg({c}), 6) as {c}" for c in "minr avgr maxr minc avgc maxc".split()) + " from (select part // 3 as block, " + ", ".join(f"avg({c}) as {c}" for c in "minr avgr maxr minc avgc maxc".split()) + " from bs group by 1)")
-def block_stats_mean(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def block_stats_mean(spark, d):
+    m = tables.ps(spark, d)
     return _rounded(stats.block_means(stats.jds_block_stats(m, _parts(m)), 3), "minr", "avgr", "maxr", "minc", "avgc", "maxc")
 
 
 # --- partitions and orderings
 
-_N = "(select count(*) from part)"
-
-
 @query(f"select k::integer as part, k * {SLICE} as row_start, least((k + 1) * {SLICE}, {_N}) as row_end from (select unnest(range((({_N} + {SLICE} - 1) // {SLICE})::bigint)) as k)")
 def part_static_slices(spark, d):
     return partition.static_slices(tables.ps(spark, d), SLICE)
 
 
-_W = "w as (select r.i + 1 as m, sum(count(e.j)) over (order by r.i)::bigint as ptr from psr r left join sk e on e.i = r.i group by r.i), arr as (select list(ptr order by m) as p, count(*)::bigint as n from w)"
+_W = "w as (select r.i + 1 as m, sum(count(e.j)) over (order by r.i)::bigint as ptr from psr r left join ps e on e.i = r.i group by r.i), arr as (select list(ptr order by m) as p, count(*)::bigint as n from w)"
 #: p[m] is the number of entries in the first m rows.
 _AT = "coalesce(case when {0} = 0 then 0 else p[{0}] end, 0)"
 
 
 @query(
-    _sql("psr sk", "", True).rstrip() + ", " + _W + f""",
+    _sql("psr ps", "", True).rstrip() + ", " + _W + f""",
 step(cur, prev, emitted_start, emitted_end) as (
   select 0::bigint, 0::bigint, null::bigint, null::bigint
   union all
@@ -375,12 +433,11 @@ every as (
 )
 select (row_number() over (order by s) - 1)::integer as part, s as row_start, e as row_end from every"""
 )
-def part_linear(spark, d, matrix=tables.sk):
-    return partition.linear(matrix(spark, d), TARGET_KB, STEP)
+def part_linear(spark, d):
+    return partition.linear(tables.ps(spark, d), TARGET_KB, STEP)
 
 
-@query(
-    _sql("psr sk", "", True).rstrip() + ", " + _W + f""",
+_TREE = _sql("psr ps", "", True).rstrip() + ", " + _W + f""",
 tree(node_id, level, s, e) as (
   select 0::bigint, 0, 0::bigint, n from arr
   union all
@@ -393,12 +450,41 @@ tree(node_id, level, s, e) as (
       where we - ws > {TARGET_KB} * 1024 and e - s > 1
     )
   ), (values (1), (2)) side(k)
-)
-select node_id, case when node_id > 0 then (node_id - 1) // 2 end as parent_id, level, s as row_start, e as row_end,
-  not exists (select 1 from tree c where c.node_id = 2 * t.node_id + 1) as is_leaf from tree t"""
-)
-def part_bipartition(spark, d, matrix=tables.sk):
-    return partition.bipartition(matrix(spark, d), TARGET_KB)
+)"""
+_IS_LEAF = "not exists (select 1 from tree c where c.node_id = 2 * t.node_id + 1)"
+
+
+@query(_TREE + f" select node_id, case when node_id > 0 then (node_id - 1) // 2 end as parent_id, level, s as row_start, e as row_end, {_IS_LEAF} as is_leaf from tree t")
+def part_bipartition(spark, d):
+    return partition.bipartition(tables.ps(spark, d), TARGET_KB)
+
+
+@query(_TREE + f" select (row_number() over (order by s) - 1)::integer as part, s as row_start, e as row_end from tree t where {_IS_LEAF}")
+def tree_leaves(spark, d):
+    return partition.leaves(partition.bipartition(tables.ps(spark, d), TARGET_KB))
+
+
+@query(_TREE + f" select count(*) as nodes, count(*) filter ({_IS_LEAF}) as leaves, count(*) filter (not {_IS_LEAF}) as parents from tree t")
+def tree_counts(spark, d):
+    return partition.tree_counts(partition.bipartition(tables.ps(spark, d), TARGET_KB))
+
+
+@query(_sql("low", "select (row_number() over (order by k) - 1)::integer as part, k * 5 as row_start, least((k + 1) * 5, (select count(*) from supplier)) as row_end from (select distinct i // 5 as k from (select i, j from low where i % 15 < 5))"))
+def tree_leaves_nonempty(spark, d):
+    # a matrix with empty bands of rows, and a tree whose leaves are its bands
+    low = tables.lower(spark, d)
+    banded = low.with_entries(low.entries.where("i % 15 < 5"))
+    bands = partition.static_slices(low, 5).select("row_start", "row_end", F.lit(True).alias("is_leaf"))
+    return partition.leaves(bands, banded)
+
+
+@query(f"select p_partkey as i, (case when 2 * p_partkey < {_N} then 1 else 3 end)::integer as part from part")
+def part_rows(spark, d):
+    # empty parts in between, as part vectors make them
+    m = tables.ps(spark, d)
+    half = -(-m.n_rows // 2)
+    bounds = [(0, 0, 0), (1, 0, half), (2, half, half), (3, half, m.n_rows), (4, m.n_rows, m.n_rows)]
+    return partition.part_of_rows(m, spark.createDataFrame(bounds, "part int, row_start long, row_end long"))
 
 
 @query(_sql("pv", "select k::integer as part, coalesce(sum(n) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint as row_start, sum(n) over (order by k)::bigint as row_end from (select r.k, count(pv.i) as n from (select unnest(range(5)) as k) r left join pv on pv.part = r.k group by r.k)"))
@@ -440,44 +526,55 @@ def reorder_vector(spark, d):
 
 
 @query(_sql("nz", f"select i as idx, i - part * {SLICE} + start as new_idx from nz join (select part, coalesce(sum(n) over (order by top desc, part rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select part, max(nnz) as top, count(*) as n from nz group by part)) using (part)"))
-def order_blocks(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+def order_blocks(spark, d):
+    m = tables.ps(spark, d)
     return partition.order_blocks(m, partition.static_slices(m, SLICE))
 
 
-_PINS = "pins as (select distinct e.j, pv.part from sk e join pv on pv.i = e.i)"
+_PINS = "pins as (select distinct e.j, pv.part from ps e join pv on pv.i = e.i)"
 
 
-@query(_sql("sk pv", "").rstrip() + f", {_PINS} select s.s_suppkey as j, (case when count(p.part) = 0 then 0 when count(p.part) = 1 then min(p.part) else 5 end)::integer as part from supplier s left join pins p on p.j = s.s_suppkey group by 1")
-def net_part(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_sql("ps pv", "").rstrip() + f", {_PINS} select s.s_suppkey as j, (case when count(p.part) = 0 then 0 when count(p.part) = 1 then min(p.part) else 5 end)::integer as part from supplier s left join pins p on p.j = s.s_suppkey group by 1")
+def net_part(spark, d):
+    m = tables.ps(spark, d)
     return partition.net_parts(m, _vector_parts(m), 5)
 
 
 _CUT = "select count(*) filter (n > 1) as cut_nets, coalesce(sum(n - 1), 0)::bigint as cutsize from (select j, count(*) as n from pins group by j)"
 
 
-@query(_sql("sk pv", "").rstrip() + f", {_PINS} select cut_nets from ({_CUT})")
-def cut_nets(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_sql("ps pv", "").rstrip() + f", {_PINS} select cut_nets from ({_CUT})")
+def cut_nets(spark, d):
+    m = tables.ps(spark, d)
     return partition.cut_metrics(m, _vector_parts(m)).select("cut_nets")
 
 
-@query(_sql("sk pv", "").rstrip() + f", {_PINS} select cutsize from ({_CUT})")
-def connectivity_cutsize(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_sql("ps pv", "").rstrip() + f", {_PINS} select cutsize from ({_CUT})")
+def connectivity_cutsize(spark, d):
+    m = tables.ps(spark, d)
     return partition.cut_metrics(m, _vector_parts(m)).select("cutsize")
 
 
-@query(_sql("sk pv", "select max(w)::bigint as max_weight, round((max(w) / (sum(w) / 5) - 1) * 100, 6)::double as imbalance_pct from (select pv.part, sum(n) as w from (select i, count(*) as n from sk group by i) e join pv on pv.i = e.i group by pv.part)"))
-def imbalance(spark, d, matrix=tables.sk):
-    m = matrix(spark, d)
+@query(_sql("ps pv", "select max(w)::bigint as max_weight, round((max(w) / (sum(w) / 5) - 1) * 100, 6)::double as imbalance_pct from (select pv.part, sum(n) as w from (select i, count(*) as n from ps group by i) e join pv on pv.i = e.i group by pv.part)"))
+def imbalance(spark, d):
+    m = tables.ps(spark, d)
     return _rounded(partition.imbalance(m, _vector_parts(m), 5), "imbalance_pct")
 
 
 @query()
-def hypergraph_partition(spark, d, matrix=tables.sk):
-    return partition.hypergraph(matrix(spark, d), 4)
+def hypergraph_partition(spark, d):
+    return partition.hypergraph(tables.ps(spark, d), 4)
+
+
+@query("select count(*) as n_rows, true as balanced, true as no_worse from part")
+def hypergraph_quality(spark, d):
+    """All rows have a part, no part is over 10 % above the mean, and the cut is no worse than that of contiguous parts."""
+    m = tables.ps(spark, d)
+    found, start = partition.hypergraph(m, 4), partition.hypergraph(m, 4, rounds=0)
+    worse = partition.cut_metrics(m, found).select("cutsize").crossJoin(partition.cut_metrics(m, start).select(F.col("cutsize").alias("before")))
+    rows = found.where(F.col("part").between(0, 3)).agg(F.count_distinct("i").alias("n_rows"))
+    fair = partition.imbalance(m, found, 4).select((F.col("imbalance_pct") <= 10).alias("balanced"))
+    return rows.crossJoin(fair).crossJoin(worse.select((F.col("cutsize") <= F.col("before")).alias("no_worse")))
 
 
 @query(_sql("", f"select * from (values {', '.join(f'({k}::bigint, {n}::bigint)' for k, n in enumerate([2, 3, 3, 3]))}) t(block, parts)").replace("with  ", ""))
@@ -526,9 +623,67 @@ def assign_parts(spark, d):
     return planner.assign_parts(partition.static_slices(tables.ps(spark, d), SLICE), WORKERS, "scatter")
 
 
-@query()
-def assign_tree(spark, d, matrix=tables.sk):
-    return assign.tree(partition.bipartition(matrix(spark, d), TARGET_KB), WORKERS)
+_SUBTREES = f""",
+sub(node_id, first, n) as (
+  select 0::bigint, 0, {WORKERS}
+  union all
+  select 2 * sub.node_id + k, case when k = 1 then first else first + (n + 1) // 2 end, case when k = 1 then (n + 1) // 2 else n // 2 end
+  from sub, (values (1), (2)) side(k) where n > 1 and exists (select 1 from tree c where c.node_id = 2 * sub.node_id + 1)
+),
+top as (select sub.first::integer as worker, t.node_id, t.s as row_start, t.e as row_end from sub join tree t using (node_id) where n <= 1 or {_IS_LEAF})"""
+_LEAVES = f", leaf as (select (row_number() over (order by s) - 1)::integer as part, s as row_start, e as row_end from tree t where {_IS_LEAF})"
+
+
+@query(_TREE + _SUBTREES + " select worker, node_id, row_start, row_end from top")
+def assign_tree(spark, d):
+    return assign.tree(partition.bipartition(tables.ps(spark, d), TARGET_KB), WORKERS)
+
+
+def _tree_parts(spark, d, how: str) -> DataFrame:
+    tree = partition.bipartition(tables.ps(spark, d), TARGET_KB)
+    return planner.assign_parts(partition.leaves(tree), WORKERS, how, tree)
+
+
+_OF_TOP = "select l.part, l.row_start, l.row_end, {0} as worker from leaf l join top on l.row_start >= top.row_start and l.row_start < top.row_end"
+
+
+@query(_TREE + _SUBTREES + _LEAVES + " " + _OF_TOP.format("worker"))
+def assign_parts_tree(spark, d):
+    return _tree_parts(spark, d, "tree")
+
+
+@query(_TREE + _SUBTREES + _LEAVES + " " + _OF_TOP.format(f"((worker + part - min(part) over (partition by worker)) % {WORKERS})::integer"))
+def assign_parts_tree_scatter(spark, d):
+    return _tree_parts(spark, d, "tree_scatter")
+
+
+_SLICES = f"p as (select k::integer as part, k * {SLICE} as row_start, least((k + 1) * {SLICE}, {_N}) as row_end from (select unnest(range((({_N} + {SLICE} - 1) // {SLICE})::bigint)) as k))"
+
+
+@query(f"with {_SLICES} select part, row_start, row_end, (ntile({WORKERS}) over (order by part) - 1)::integer as worker from p")
+def assign_parts_block(spark, d):
+    return planner.assign_parts(partition.static_slices(tables.ps(spark, d), SLICE), WORKERS, "block")
+
+
+@query(
+    f"""with recursive {_SLICES},
+h(start, n, first, p) as (
+  select 0::bigint, count(*), 0, 4 from p
+  union all
+  select case when k = 0 then start else start + n // 2 end, case when k = 0 then n // 2 else n - n // 2 end, case when k = 0 then first else first + p // 2 end, case when k = 0 then p // 2 else p - p // 2 end
+  from h, (values (0), (1)) side(k) where p > 1
+)
+select p.part, p.row_start, p.row_end, (2 * h.first + (p.part - h.start) % 2)::integer as worker from p join h on h.p = 1 and p.part >= h.start and p.part < h.start + h.n"""
+)
+def assign_parts_power_of_2(spark, d):
+    return planner.assign_parts(partition.static_slices(tables.ps(spark, d), SLICE), 8, "power_of_2", blocks=4)
+
+
+@query(_sql("ps", f"select ((i // {SLICE}) % {WORKERS})::integer as worker, i, sum(val * (j % 10))::double as y from ps group by i"))
+def spmv_by_worker(spark, d):
+    m = tables.ps(spark, d)
+    parts = planner.assign_parts(partition.static_slices(m, SLICE), WORKERS, "scatter")
+    return planner.run_by_worker(m, parts, kernels.ramp(m), WORKERS)
 
 
 def _blocks(m: SparseMatrix) -> DataFrame:
@@ -545,27 +700,8 @@ def merge_adjacent(spark, d):
     return assign.merge_adjacent(_blocks(tables.ps(spark, d)))
 
 
-# --- the queries over ``sk`` on the whole of ``ps``, and dense rows of a whole matrix
-
-
-def _on_ps(name: str) -> None:
-    """Register ``name``_ps: the query over ``ps`` in place of ``sk``, and its SQL likewise."""
-    over_sk = QUERIES[name]
-
-    def run(spark, d):
-        return over_sk(spark, d, tables.ps)
-
-    run.__name__ = f"{name}_ps"
-    sql = ORACLE_SQL.get(name)
-    query(sql.replace(_WITH["sk"], "sk as (select i, j, val from ps)") if sql else None)(run)
-
-
-for _name in [n for n, f in QUERIES.items() if "matrix" in f.__code__.co_varnames[: f.__code__.co_argcount]]:
-    _on_ps(_name)
-
-
 @query("select c_custkey as i, string_agg(case when c_nationkey = n_nationkey then '1' else '0' end, ' ' order by n_nationkey) as line from customer, nation group by 1")
-def dense_rows_cn(spark, d):
+def dense_rows(spark, d):
     m = tables.cn(spark, d)
     rows = formats.dense_rows(m, 0, m.n_rows)
     return rows.select("i", F.array_join(F.transform("vals", lambda v: v.cast("bigint").cast("string")), " ").alias("line"))
@@ -621,6 +757,57 @@ def jacobi_solve(spark, d):
     return vector.jacobi(m, solvers.start_vectors(m)[1]).withColumn("v", F.round("v", 9))
 
 
+def _steps(weights: str, steps: int = 3) -> str:
+    """``steps`` iterations over lists; ``weights`` is a list of the preconditioner."""
+    each = lambda e: f"list_transform(range(1, len(x) + 1), lambda k: {e})"
+    return _sql("ss", "", True).rstrip() + f""",
+grid as (select a.s_suppkey as i, list(coalesce(e.val, 0.0) order by b.s_suppkey) as line, max(case when a.s_suppkey = b.s_suppkey then e.val end) as d
+  from supplier a cross join supplier b left join ss e on e.i = a.s_suppkey and e.j = b.s_suppkey group by a.s_suppkey),
+m as (select list(line order by i) as a, list((i % 10)::double order by i) as x0, list(greatest(5 - i, 0)::double order by i) as b, list({weights} order by i) as w from grid),
+start as (select x0 as x, list_transform(range(1, len(b) + 1), lambda k: b[k] - list_dot_product(a[k], x0)) as r from m),
+it(n, x, r, p, rz) as (
+  select 0, x, r, list_transform(range(1, len(x) + 1), lambda k: w[k] * r[k]), list_dot_product(r, list_transform(range(1, len(x) + 1), lambda k: w[k] * r[k])) from start, m
+  union all
+  select n + 1, x1, r1, {each('w[k] * r1[k] + list_dot_product(r1, z1) / rz * p[k]')}, list_dot_product(r1, z1)
+  from (select *, {each('w[k] * r1[k]')} as z1
+    from (select *, {each('x[k] + alpha * p[k]')} as x1, {each('r[k] - alpha * q[k]')} as r1
+      from (select *, rz / list_dot_product(p, q) as alpha from (select it.*, w, list_transform(a, lambda line: list_dot_product(line, p)) as q from it, m where n < {steps}))))
+)
+select (generate_subscripts(x, 1) - 1)::bigint as idx, round(unnest(x), 6) as v from it where n = {steps}"""
+
+
+def _start(spark, d) -> tuple[SparseMatrix, DataFrame, DataFrame]:
+    m = tables.ss(spark, d)
+    x0, b = solvers.start_vectors(m)
+    return m, b, x0
+
+
+@query(_steps("1.0::double"))
+def cg_steps(spark, d):
+    return solvers.cg(*_start(spark, d), stop=0.0, most=3).x.withColumn("v", F.round("v", 6))
+
+
+@query(_steps("1.0 / d"))
+def pcg_steps(spark, d):
+    return solvers.pcg(*_start(spark, d), stop=0.0, most=3).x.withColumn("v", F.round("v", 6))
+
+
+def _reached(spark, d, solve) -> DataFrame:
+    m, b, x0 = _start(spark, d)
+    s = solve(m, b, x0, most=200)
+    return spark.createDataFrame([(s.residual <= 0.01, s.iterations < 200, solvers.residual(m, b, s.x) <= 0.2)], "converged boolean, in_time boolean, solved boolean")
+
+
+@query("select true as converged, true as in_time, true as solved")
+def cg_reached(spark, d):
+    return _reached(spark, d, solvers.cg)
+
+
+@query("select true as converged, true as in_time, true as solved")
+def pcg_reached(spark, d):
+    return _reached(spark, d, solvers.pcg)
+
+
 @query()
 def cg_solve(spark, d):
     m = tables.ss(spark, d)

@@ -10,7 +10,7 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assign, formats, kernels, partition, stats
+from ..operators import assign, formats, kernels, partition, stats, vector
 from ..operators.matrix import SparseMatrix
 from ..sources.mtx import read_mtx
 
@@ -66,7 +66,7 @@ class Options:
 
 @dataclass
 class Prepared:
-    """A matrix with its parts, ready for products; ``order`` leads from old to new rows if it was reordered."""
+    """A matrix with its parts, ready for products; orders lead from old to new rows and columns if it was reordered."""
 
     matrix: SparseMatrix
     partition: DataFrame
@@ -74,9 +74,12 @@ class Prepared:
     options: Options
     order: DataFrame | None = None
     regions: DataFrame | None = None
+    col_order: DataFrame | None = None
 
     def product(self, x: DataFrame) -> DataFrame:
-        """(i, y) in the rows' original order."""
+        """(i, y) in the rows' original order; ``x`` is in the columns' original order."""
+        if self.col_order is not None:
+            x = vector.scatter(x, self.col_order)
         if self.options.storage_format == "HYBRID_JDS_CSR":
             y = kernels.spmv_hybrid(self.matrix, self.regions, x)
         elif self.options.storage_format == "JDS":
@@ -97,33 +100,64 @@ def cut(m: SparseMatrix, o: Options) -> DataFrame:
 
 def prepare(m: SparseMatrix, o: Options) -> Prepared:
     """Order by a hypergraph model if asked to, cut into parts, and keep the entries where products find them."""
-    order = None
+    order = col_order = None
     if o.ordering_type != "none":
         k = max(2, o.workers)
         if o.ordering_type == "column_net":
-            order = partition.order_from_part_vector(partition.hypergraph(m, k), k).persist()
-            m = m.reorder(order)
+            order = partition.order_from_part_vector(partition.hypergraph(m, k), k, max(1, m.n_rows)).persist()
         else:
-            columns = partition.order_from_part_vector(partition.hypergraph(m.transpose(), k), k)
-            m = m.reorder(cols=columns)
+            col_order = partition.order_from_part_vector(partition.hypergraph(m.transpose(), k), k, max(1, m.n_cols)).persist()
+        m = m.reorder(order, col_order)
     m = m.with_entries(m.entries.persist())
     found = cut(m, o).persist()
     parts = partition.part_of_rows(m, found).persist()
     regions = formats.hybrid_jds(m, parts).persist() if o.storage_format == "HYBRID_JDS_CSR" else None
-    return Prepared(m, found, parts, o, order, regions)
+    return Prepared(m, found, parts, o, order, regions, col_order)
 
 
-def assign_parts(found: DataFrame, workers: int, how: str = "block") -> DataFrame:
-    """A partition with ``worker``: contiguous (``block``), round robin (``scatter``) or by halves (``split``).
+#: Ways to deal parts to workers.
+WAYS = ("block", "scatter", "split", "tree", "tree_scatter", "power_of_2")
 
-    For a tree's subtrees see ``operators.assign.tree``. Spark's own scheduler balances tasks as they run; this is
-    for plans that pin parts, as in ``found.repartition(workers, "worker")``.
+
+def assign_parts(found: DataFrame, workers: int, how: str = "block", tree: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
+    """A partition (part, row_start, row_end) with ``worker``, by one of ``WAYS``.
+
+    ``block``: contiguous; ``scatter``: round robin; ``split``: by halves. ``tree``: the parts are the leaves of
+    ``tree``, and each worker gets a subtree; ``tree_scatter``: the subtrees' leaves, each subtree's dealt round
+    robin from its own worker on. ``power_of_2``: ``blocks`` groups of workers get counts of parts by halving,
+    and deal theirs round robin inside of the group.
     """
+    if how in ("tree", "tree_scatter"):
+        top = sorted((r.row_start, r.worker) for r in assign.tree(tree, workers).collect())  # one row a worker
+        k = F.size(F.filter(F.array(*[F.lit(s) for s, _ in top]), lambda s: s <= F.col("row_start")))
+        at = found.withColumn("worker", F.get(F.array(*[F.lit(w) for _, w in top]), k - 1))
+        if how == "tree":
+            return at
+        first = at.groupBy("worker").agg(F.min("part").alias("p"))
+        return at.join(F.broadcast(first), "worker").withColumn("worker", F.pmod(F.col("worker") + F.col("part") - F.col("p"), F.lit(workers)).cast("int")).select(*found.columns, "worker")
     pos, n = F.col("part"), found.count()
+    if how == "power_of_2":
+        blocks = blocks or workers
+        each, counts = max(1, workers // blocks), partition.part_counts_power_of_2(blocks, n)
+        ends = [sum(counts[: k + 1]) for k in range(blocks)]
+        block = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= pos))
+        start = F.get(F.array(*map(F.lit, [0, *ends])), block)
+        return found.withColumn("worker", (block * each + F.pmod(pos - start, F.lit(each))).cast("int"))
     worker = {"block": lambda: assign.decompose(pos, n, workers), "scatter": lambda: assign.scatter(pos, workers), "split": lambda: assign.split(pos, n, workers)}[how]()
     return found.withColumn("worker", worker)
 
 
+def run_by_worker(m: SparseMatrix, assigned: DataFrame, x: DataFrame, workers: int) -> DataFrame:
+    """(worker, i, y) of all rows that are not empty, each computed in its worker's own partition.
+
+    Spark's scheduler balances tasks as they run, so this is for plans that pin parts: entries go to the
+    partition of their worker once, and are summed there without another shuffle.
+    """
+    rows = partition.part_of_rows(m, assigned).join(assigned.select("part", "worker"), "part").select("i", "worker")
+    pinned = m.entries.join(rows, "i").repartition(workers, "worker")
+    return kernels.with_x(pinned, x, m.n_cols).groupBy("worker", "i").agg(F.sum(F.col("val") * F.col("v")).alias("y"))
+
+
 def measure(p: Prepared, x: DataFrame) -> list[float]:
     """Seconds of each measured run, after the warm-up runs."""
     took = []

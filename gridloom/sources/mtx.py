@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,28 +55,49 @@ class Header:
     nnz: int  # as the file says, before mirroring
 
 
+def _head(spark: SparkSession, path: str) -> tuple[list[str], int, DataFrame]:
+    """The banner's and the size line's words, and the lines (``value``) after them, of a file or of a folder of parts by name.
+
+    Only the first lines of the first part with text are read for it.
+    """
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    for k, name in enumerate(files):
+        lines, most = spark.read.text(name).withColumn("n", F.monotonically_increasing_id()), 32
+        while True:
+            top = [r.value.strip() for r in lines.limit(most).collect()]
+            found = next((i for i, x in enumerate(top) if x and not x.startswith("%")), None)
+            if found is not None or len(top) < most:
+                break
+            most *= 8
+        if not any(top):
+            continue
+        banner = next(x for x in top if x)
+        if found is None or banner == top[found]:
+            return [banner, ""], 0, lines
+        rest = lines.where(F.col("n") > found).select("value")
+        if files[k + 1 :]:
+            rest = rest.unionByName(spark.read.text(files[k + 1 :]))
+        return [banner, top[found]], found, rest.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    raise ValueError(f"empty file: {path}")
+
+
 def read_mtx(spark: SparkSession, path: str, coefficients: str | None = None) -> tuple[SparseMatrix, Header]:
-    """The matrix of a coordinate file, 0-based, with the other triangle filled in.
+    """The matrix of a coordinate file (or a folder of its parts), 0-based, with the other triangle filled in.
 
     Pattern entries are 1.0, or with ``coefficients="row"`` 1 / nnz of their row; complex values become their real
     part, with the imaginary part in the column ``im``. Raises ValueError for dense files and wrong headers.
     """
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    first = lines.orderBy("n").limit(1).collect()
-    if not first:
-        raise ValueError(f"empty file: {path}")
-    banner = Banner.parse(first[0].value)
+    (first, size), _, data = _head(spark, path)
+    banner = Banner.parse(first)
     if banner.format != "coordinate":
         raise ValueError("only sparse (coordinate) matrices are read")
-    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size = data.orderBy("n").limit(1).collect()
-    words = size[0].value.split() if size else []
+    words = size.split()
     if len(words) != 3 or not all(w.isdigit() for w in words):
         raise ValueError(f"no size line: {path}")
     head = Header(banner, *map(int, words))
     f = F.split(F.trim("value"), r"\s+")
     value = F.lit(1.0) if banner.field == "pattern" else f[2].cast("double")
-    rows = data.where(F.col("n") > size[0].n).select((f[0].cast("long") - 1).alias("i"), (f[1].cast("long") - 1).alias("j"), value.alias("val"), *[f[3].cast("double").alias("im")] * (banner.field == "complex"))
+    rows = data.select((f[0].cast("long") - 1).alias("i"), (f[1].cast("long") - 1).alias("j"), value.alias("val"), *[f[3].cast("double").alias("im")] * (banner.field == "complex"))
     sign = -1 if banner.symmetry == "skew-symmetric" else 1
     m = SparseMatrix(rows, head.n_rows, head.n_cols)
     if banner.symmetry != "general":
@@ -88,6 +110,21 @@ def read_mtx(spark: SparkSession, path: str, coefficients: str | None = None) ->
     return m, head
 
 
+def read_dense(spark: SparkSession, path: str) -> tuple[SparseMatrix, Header]:
+    """The matrix of an array file of real or integer values, column by column; zeros become no entries."""
+    (first, size), found, _ = _head(spark, path)
+    banner, words = Banner.parse(first), size.split()
+    if banner.format != "array" or banner.field not in ("real", "integer") or banner.symmetry != "general":
+        raise ValueError("no general array of real values")
+    if len(words) != 2 or not all(w.isdigit() for w in words):
+        raise ValueError(f"no size line: {path}")
+    rows, cols = map(int, words)
+    lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    at = number_lines(lines).where("idx > 0").select((F.col("idx") - 1).alias("idx"), F.trim("value").cast("double").alias("val"))
+    e = at.where("val <> 0").select(F.pmod("idx", F.lit(rows)).alias("i"), F.floor(F.col("idx") / rows).alias("j"), "val")
+    return SparseMatrix(e, rows, cols), Header(banner, rows, cols, rows * cols)
+
+
 def write_mtx(m: SparseMatrix, path: str, field: str = "real") -> None:
     """A folder of text parts which make one coordinate file when put together in order; 1-based, 16 digits."""
     nnz = m.entries.count()
@@ -98,11 +135,22 @@ def write_mtx(m: SparseMatrix, path: str, field: str = "real") -> None:
     head.unionByName(body).orderBy("i", "j").select("value").write.text(path)
 
 
-def write_parts(m: SparseMatrix, partition: DataFrame, path: str) -> None:
-    """Each part's entries, with rows counted from the part's first, under ``part=<number>`` in the folder."""
-    rows = m.entries.join(F.broadcast(partition), (F.col("i") >= F.col("row_start")) & (F.col("i") < F.col("row_end")))
-    line = F.concat_ws(" ", F.col("i") - F.col("row_start") + 1, F.col("j") + 1, F.format_string("%.16g", "val"))
-    rows.select("part", "i", "j", line.alias("value")).repartition("part").sortWithinPartitions("part", "i", "j").select("part", "value").write.partitionBy("part").text(path)
+def write_parts(m: SparseMatrix, parts: DataFrame, path: str) -> None:
+    """Each part as a matrix file of its own under ``part=<number>`` in the folder, rows counted from the part's first.
+
+    ``parts`` is a partition (part, row_start, row_end). Each file set has a banner and its size line, parts
+    without entries too; a large part is written by several tasks.
+    """
+    from ..operators.partition import part_of_rows
+
+    of = part_of_rows(m, parts).join(parts.select("part", "row_start"), "part")
+    rows = m.entries.join(of, "i").select("part", (F.col("i") - F.col("row_start")).alias("i"), "j", "val")
+    counts = parts.join(rows.groupBy("part").agg(F.count("*").alias("nnz")), "part", "left")
+    size = F.concat_ws(" ", F.col("row_end") - F.col("row_start"), F.lit(m.n_cols), F.coalesce("nnz", F.lit(0)))
+    heads = counts.select("part", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("i"), x.alias("value")) for k, x in ((-2, F.lit(str(Banner("coordinate", "real", "general")))), (-1, size))])).alias("h"))
+    line = F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.format_string("%.16g", "val"))
+    all_rows = heads.select("part", "h.i", F.lit(-1).cast("long").alias("j"), "h.value").unionByName(rows.select("part", "i", "j", line.alias("value")))
+    all_rows.repartitionByRange("part", "i", "j").sortWithinPartitions("part", "i", "j").select("part", "value").write.partitionBy("part").text(path)
 
 
 def _numbers(spark: SparkSession, path: str, kind: str, header: bool) -> DataFrame:
@@ -154,10 +202,10 @@ def line_count(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).count()
 
 
-def load_kway_order(spark: SparkSession, m: SparseMatrix, folder: str, name: str, k: int) -> tuple[SparseMatrix, DataFrame]:
-    """The matrix in the order of K-way files ``<folder>/<name>_{vertexOrder,netOrder,vertexDimension}_<K>K``, and its parts."""
+def load_kway_order(spark: SparkSession, m: SparseMatrix, folder: str, name: str, k: int) -> tuple[SparseMatrix, DataFrame, DataFrame]:
+    """The matrix in the order of K-way files ``<folder>/<name>_{vertexOrder,netOrder,vertexDimension,netDimension}_<K>K``, its row parts and its column parts."""
     at = lambda what: f"{folder}/{name}_{what}_{k}K"
-    return m.reorder(read_order(spark, at("vertexOrder")), read_order(spark, at("netOrder"))), read_dimensions(spark, at("vertexDimension"))
+    return m.reorder(read_order(spark, at("vertexOrder")), read_order(spark, at("netOrder"))), read_dimensions(spark, at("vertexDimension")), read_dimensions(spark, at("netDimension"))
 
 
 def load_power_of_2_order(spark: SparkSession, m: SparseMatrix, stem: str) -> tuple[SparseMatrix, DataFrame]:

@@ -12,3 +12,16 @@ def same_rows(df, duck, sql):
     got = sorted((tuple(r) for r in df.collect()), key=key)
     want = sorted(duck.sql(f"select {', '.join(columns)} from ({sql})").fetchall(), key=key)
     assert got == want
+
+
+def skewed(spark):
+    """Part x supplier with rows of very unequal length, so that both regions of a hybrid have entries."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gridloom.plans import tables
+
+    m = tables.ps(spark, DATA)
+    k = F.row_number().over(Window.partitionBy("i").orderBy("j"))
+    most = F.when(F.col("i") % 50 == 0, 1000).otherwise(1 + F.col("i") % 3)
+    return m.with_entries(m.entries.withColumn("k", k).where(F.col("k") <= most).drop("k"))

@@ -189,6 +189,55 @@ def test_vectors_orders_and_parts_in_files(spark, tmp_path):
     assert sorted((r.i, r.val) for r in m.entries.collect()) == [(0, 2.0), (1, 1.0), (2, 3.0)]
     mtx.write_parts(m, parts, f"file://{tmp_path}/parts")
     assert sorted(p.name for p in (tmp_path / "parts").glob("part=*")) == ["part=0", "part=1"]
+    one, head = mtx.read_mtx(spark, f"file://{tmp_path}/parts/part=1")
+    assert sorted(map(tuple, one.entries.collect())) == [(0, 0, 1.0), (1, 0, 3.0)] and (head.n_rows, head.n_cols, head.nnz) == (2, 1, 2)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_folders_of_parts_are_read_in_order(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    values = [round(rng.uniform(-9, 9), 2) for _ in range(300)]
+    lines, folder = [str(len(values)), *map(str, values)], tmp_path / "v"
+    folder.mkdir()
+    # parts of unequal size, the larger ones not first, some empty
+    cuts = sorted(rng.randrange(len(lines)) for _ in range(7))
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(lines)])):
+        (folder / f"part-{k:05}.txt").write_text("".join(x + "\n" for x in lines[a:b]))
+    assert [r.v for r in mtx.read_vector(spark, f"file://{folder}").orderBy("idx").collect()] == values
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        assert [r.v for r in mtx.read_vector(spark, f"file://{folder}").orderBy("idx").collect()] == values
+        mtx.write_vector(spark.createDataFrame(list(enumerate(values)), "idx long, v double").repartition(5), f"file://{tmp_path}/w")
+        assert [r.v for r in mtx.read_vector(spark, f"file://{tmp_path}/w").orderBy("idx").collect()] == values
+        entries = [(rng.randrange(40), rng.randrange(30), round(rng.uniform(0, 5), 3)) for _ in range(200)]
+        mtx.write_mtx(matrix(spark, entries, 40, 30), f"file://{tmp_path}/m")
+        again, head = mtx.read_mtx(spark, f"file://{tmp_path}/m")
+        assert sorted(map(tuple, again.entries.collect())) == sorted(entries) and head.nnz == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_dense_files(spark, tmp_path):
+    m, head = mtx.read_dense(spark, write(tmp_path / "d.mtx", "%%MatrixMarket matrix array real general\n% note\n2 3\n1\n0\n3\n4\n0\n6.5\n"))
+    assert sorted(map(tuple, m.entries.collect())) == [(0, 0, 1.0), (0, 1, 3.0), (1, 1, 4.0), (1, 2, 6.5)] and (m.n_rows, m.n_cols) == (2, 3)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_of_parts_with_empty_ones(spark, seed):
+    rng = random.Random(seed)
+    bounds = sorted([0, 50, *(rng.choice([0, 7, 7, 20, 33, 50]) for _ in range(6))])
+    parts = [(k, a, b) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    m = matrix(spark, [(0, 0, 1.0)], 50, 1)
+    got = sorted((r.i, r.part) for r in partition.part_of_rows(m, spark.createDataFrame(parts, "part int, row_start long, row_end long")).collect())
+    assert got == [(i, k) for k, a, b in parts for i in range(a, b)]
+
+
+def test_kway_files(spark, tmp_path):
+    for what, text in (("vertexOrder", "3\n2\n0\n1\n"), ("netOrder", "2\n1\n0\n"), ("vertexDimension", "2\n1\n2\n"), ("netDimension", "2\n1\n1\n")):
+        write(tmp_path / f"m_{what}_4K", text)
+    m, rows, cols = mtx.load_kway_order(spark, matrix(spark, [(0, 0, 5.0), (2, 1, 7.0)], 3, 2), f"file://{tmp_path}", "m", 4)
+    assert sorted(map(tuple, m.entries.collect())) == [(1, 0, 7.0), (2, 1, 5.0)]
+    assert sorted(map(tuple, rows.collect())) == [(0, 0, 1), (1, 1, 3)] and sorted(map(tuple, cols.collect())) == [(0, 0, 1), (1, 1, 2)]
 
 
 def test_orderings_invert(spark):
@@ -199,7 +248,7 @@ def test_orderings_invert(spark):
 
 
 @pytest.mark.parametrize("form", ["CSR", "JDS", "HYBRID_JDS_CSR"])
-@pytest.mark.parametrize("order, method", [("none", "regular"), ("column_net", "recursive_bipartition")])
+@pytest.mark.parametrize("order, method", [("none", "regular"), ("column_net", "recursive_bipartition"), ("row_net", "recursive_bipartition")])
 def test_planned_products_agree(spark, tmp_path, form, order, method):
     from gridloom.plans.planner import Options, prepare, report
 

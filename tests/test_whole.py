@@ -1,18 +1,65 @@
-"""Queries that go over whole matrices give as many rows as these have."""
+"""Queries that go over whole matrices give as many rows as these have, by plans without a task for all of them."""
 
-from helpers import DATA
+import re
 
+import pytest
+from helpers import DATA, skewed
+from pyspark.sql import functions as F
+
+from gridloom.functions import scan
+from gridloom.operators import formats, kernels, partition
 from gridloom.plans import catalog, tables
 
 
-def test_queries_over_ps_have_all_entries(spark):
+def test_queries_have_all_entries(spark):
     n = tables.ps(spark, DATA).entries.count()
-    for name in ("icsr_encode_ps", "icsr_decode_ps", "jds_entries_ps", "hybrid_regions_jds_ps", "hybrid_regions_csr_ps"):
+    for name in ("icsr_encode", "icsr_decode", "jds_entries", "hybrid_regions_jds", "hybrid_regions_csr"):
         assert catalog.QUERIES[name](spark, DATA).count() == n
-    assert sum("matrix" in f.__code__.co_varnames[: f.__code__.co_argcount] for f in catalog.QUERIES.values()) == sum(k.endswith("_ps") for k in catalog.QUERIES)
 
 
-def test_dense_rows_cn_has_all_rows(spark):
+def test_dense_rows_has_all_rows(spark):
     m = tables.cn(spark, DATA)
-    rows = catalog.QUERIES["dense_rows_cn"](spark, DATA).collect()
+    rows = catalog.QUERIES["dense_rows"](spark, DATA).collect()
     assert len(rows) == m.n_rows and all(r.line.count("1") == 1 and len(r.line.split()) == m.n_cols for r in rows)
+
+
+def test_both_regions_of_a_skewed_matrix(spark):
+    m = skewed(spark)
+    parts = m.rows().select("i", F.floor(F.col("i") / 100).alias("part"))
+    for regions in (formats.hybrid_jds(m, parts), formats.hybrid_csr(m, parts)):
+        assert {r.region for r in regions.select("region").distinct().collect()} == {"JDS", "CSR"}
+        assert sorted(map(tuple, kernels.spmv_hybrid(m, regions, kernels.ramp(m)).collect())) == sorted(map(tuple, kernels.spmv(m, kernels.ramp(m)).collect()))
+
+
+@pytest.mark.parametrize("name", ["csr_rowptr", "csr_entries", "jds_idiag", "icsr_encode", "icsr_decode", "tree_leaves", "order_blocks", "part_from_vector", "order_from_vector", "pattern_coefficients", "part_rows", "part_linear"])
+def test_no_window_or_nested_loop_over_all_rows(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    # a window lists its partition first; one without has an order only
+    for spec in re.findall(r"windowspecdefinition\(([^,]*),", plan):
+        assert "ASC" not in spec and "DESC" not in spec and "specifiedwindowframe" not in spec
+    if name != "part_linear":
+        assert "SinglePartition" not in plan
+
+
+def test_ranges_give_their_numbers(spark):
+    df = spark.createDataFrame([(1, 0, 0), (2, 0, 5), (3, 5, 5), (4, 5, 23), (5, 23, 24)], "k int, s long, e long")
+    got = sorted((r.x, r.k) for r in scan.explode_ranges(df, "s", "e", "x", block=4).collect())
+    assert got == [(x, 2) for x in range(5)] + [(x, 4) for x in range(5, 23)] + [(23, 5)]
+
+
+def test_numbers_within_groups_by_blocks(spark):
+    rows = [(i % 3, j, float(k)) for i in range(3) for j in range(0, 50, i + 1) for k in range(2)]
+    df = spark.createDataFrame(rows, "i long, j long, val double").repartition(4)
+    for block in (7, 100):
+        got = sorted((r.i, r.k, r.j, r.val) for r in scan.number_within(df, "i", "j", ("val",), "k", 50, block).collect())
+        want = [(i, k, j, v) for i in range(3) for k, (j, v) in enumerate(sorted((j, v) for a, j, v in rows if a == i))]
+        assert got == want
+
+
+@pytest.mark.parametrize("block", [5, 16, 1 << 16])
+def test_trees_of_long_ranges(spark, block):
+    m = skewed(spark)
+    want = sorted(map(tuple, partition.bipartition(m, 0.2).select("node_id", "level", "row_start", "row_end", "is_leaf").collect()))
+    got = partition.bipartition(m, 0.2, block=block).select("node_id", "level", "row_start", "row_end", "is_leaf")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 20
