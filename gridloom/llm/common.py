@@ -1,36 +1,27 @@
-"""Shared helpers of the text operators: table access, Arrow chunks, checkpoints."""
+"""Shared helpers of the text operators: table access, Arrow chunks, samples, tables in between."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint, delete, scratch  # noqa: F401
+
 #: Bytes of text that one numpy step handles at a time (a longer text is a step of its own).
 CHUNK_BYTES = 1 << 20
+#: Values of a column whose rates are broadcast, and narrow rows of a table that is.
+VALUES, ROWS = 10_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut ``df``'s lineage with a reliable checkpoint in the folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is set only where it
-    is unset, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def chunks(batches, size: int = CHUNK_BYTES, column: int = 1, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of at most ``rows`` rows whose text column holds about ``size`` bytes, at least one row each."""
     for batch in batches:
@@ -66,38 +57,52 @@ def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
-    """About ``most`` rows of ``df`` for each value of ``by``, never more than 1.2 times that in all values.
+def bounded_sample(df: DataFrame, key: str, by: str, most: int, text: str | None = None, total: int | None = None) -> DataFrame:
+    """About ``most`` rows of ``df`` for each value of ``by``; rows of one key and text count as one.
 
-    The rows are picked by a hash of ``key``; only ``by`` and ``key`` are read to find the rates.
+    The rows are picked by a hash of ``key`` (and of ``text``), evenly from all values of ``by``; only these
+    columns are read to find the rates. At most 1.2 times as many rows as asked for come out, and at most ``total``.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().limit(1000).collect()}
-    if not counts:
-        return df.limit(0)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])[F.col(by)]
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) / F.lit(1e6)
-    return df.where(draw < rate).limit(int(1.2 * most * len(counts)) + 1)
+    sizes = df.groupBy(by).count().select(F.col(by).alias("__by"), F.least(F.lit(1.0), F.lit(most) / F.col("count")).alias("__rate"))
+    found = sizes.limit(VALUES + 1).collect()
+    values = len(found)
+    if values > VALUES:
+        values = sizes.count()
+    else:
+        sizes = F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
+    draw = F.pmod(F.xxhash64(F.col(key), F.xxhash64(text) if text else F.lit(0), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = df.withColumn("__draw", draw).join(sizes, F.col(by).eqNullSafe(F.col("__by"))).where("__draw < __rate")
+    # equal rows have equal draws and may be very many; the limit goes by the place in the value's own quota
+    some = some.dropDuplicates([by, "__draw"]).withColumn("__place", F.col("__draw") / F.col("__rate"))
+    return some.orderBy("__place", by, "__draw").limit(min(total or 1 << 30, int(1.2 * most * values) + 1)).drop("__by", "__rate", "__draw", "__place")
+
+
+def broadcast_if_few(rows: DataFrame, most: int = ROWS) -> DataFrame:
+    """For a join: ``rows``, which are narrow, broadcast if they are at most ``most``, so that the other side stays where it is."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``; our own only where it is unset)."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/gridloom").rstrip("/")
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def tables_until_done(spark: SparkSession):
+    """Tables that ``written`` makes inside go at the end, except where its caller takes them from the list."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again, so that nothing computes it twice.
 
-    The folder goes when the driver's program ends.
+    It goes at the end of ``tables_until_done``, or with the driver's program.
     """
-    path = f"{shared_folder(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended
-        pass

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import checkpoint, chunks
+from .common import broadcast_if_few, checkpoint, chunks
 from .graph import components
 
 SEED = 42
@@ -341,14 +341,15 @@ def _codes(prints: DataFrame, key: str) -> DataFrame:
     return checkpoint(prints.groupBy("fp").agg(F.min(key).alias("least")))
 
 
-def _ids(codes: DataFrame, found: DataFrame) -> DataFrame:
-    """(fp, component_id): the least key of all codes that each code reaches by the links ``found``."""
+def _ids(codes: DataFrame, found: DataFrame, first: str | None = None) -> DataFrame:
+    """(fp, component_id): the least key of all codes that each code reaches by the links ``found``; ``first``: with the (least) code that has it."""
     reach = components(found)
     of = checkpoint(codes.join(reach.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     # most components are one code; only the others are gathered
     joint = reach.select("component").distinct()
-    least = of.join(joint, "component", "left_semi").groupBy("component").agg(F.min("least").alias("id"))
-    return of.join(least, "component", "left").select("fp", F.coalesce("id", "least").alias("component_id"))
+    least = of.join(joint, "component", "left_semi").groupBy("component").agg(F.min("least").alias("id"), F.min(F.when(F.col("least").isNotNull(), F.struct("least", "fp"))).alias("top"))
+    out = of.join(least, "component", "left")
+    return out.select("fp", F.coalesce("id", "least").alias("component_id"), *([F.coalesce("top.fp", "fp").alias(first)] if first else []))
 
 
 def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -364,19 +365,25 @@ SIMILARITY = 0.8
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, component_id) for each row, by links of texts whose shingles have that Jaccard likeness.
+    """(key, th, component_id, first) for each row, by links of texts whose shingles have that Jaccard likeness.
 
     Fingerprints are a weak guide at such a likeness, so the pairs come from a prefix filter over the shingles
-    and are verified by all of them (``jaccard``). Documents of equal shingle sets are one class.
+    and are verified by all of them (``jaccard``). Documents of equal shingle sets are one class. ``th`` is a
+    hash of the text; ``first`` tells the documents of the component's least key, of one class of them.
     """
     prints = checkpoint(jaccard.prefixes(docs, words, similarity, text, key))
-    sets = checkpoint(prints.groupBy("name").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    sets = checkpoint(prints.groupBy("name").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     found = jaccard.links(docs, sets, words, similarity, text, key)
     codes = sets.select(F.col("name").alias("fp"), "least")
-    return prints.select(key, F.col("name").alias("fp")).join(_ids(codes, found), "fp").select(key, "component_id")
+    ids = _ids(codes, found, "class")
+    rows = prints.select(key, "th", F.col("name").alias("fp")).join(ids, "fp")
+    return rows.select(key, "th", "component_id", (F.col("fp").eqNullSafe(F.col("class")) & F.col(key).eqNullSafe(F.col("component_id"))).alias("first"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of the least key; those without key stay."""
-    gone = near_duplicates(docs, text=text, key=key, **how).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group of near-duplicates, the one of the least key; those without key stay.
+
+    Where documents of one key differ, each is judged by its own text. Rows that agree in both are one document.
+    """
+    gone = checkpoint(near_duplicates(docs, text=text, key=key, **how).where(~F.col("first") & F.col(key).isNotNull()).select(F.col(key).alias("__gone"), F.col("th").alias("__th")).distinct())
+    return docs.join(broadcast_if_few(gone), (docs[key] == F.col("__gone")) & (F.xxhash64(docs[text]) == F.col("__th")), "left_anti")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from gridloom.llm import jaccard, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -83,3 +85,31 @@ def test_long_texts_near_the_bound_are_told_apart(spark):
     want = brute(docs)
     assert 20 < sum(k != v for k, v in want.items()) < 40
     assert found(spark, docs) == want
+
+
+def test_texts_of_one_shingle_in_the_main_are_no_duplicates(spark):
+    draw = random.Random(9)
+    docs = [(i, " ".join(["buy"] * 200 + text(150, draw))) for i in range(6)]
+    assert found(spark, docs) == {i: i for i in range(6)} == brute(docs)
+
+
+def test_documents_of_one_id_are_judged_by_their_own_texts(spark):
+    draw = random.Random(10)
+    a, b, c = (" ".join(text(40, draw)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, c), (3, b), (3, b + " x"), (None, b)], SCHEMA)
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert ("2", c) in kept and ("2", a) not in kept and ("1", a) in kept and ("None", b) in kept
+    assert len([x for x in kept if x[0] == "3"]) == 1
+
+
+def test_bitmaps_differ_no_more_than_sets(spark):
+    draw, rows, want = np.random.default_rng(1), [], []
+    for n in (1, 30, 230, 400, 2000, 2000, 9000):
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.append(a[draw.random(len(a)) < 0.9], draw.integers(0, 2**63, n // 6).astype(np.uint64)))
+        rows += [(len(rows), jaccard.bitmap(a).tolist(), jaccard.bitmap(b).tolist()), (len(rows) + 1, jaccard.bitmap(b).tolist(), jaccard.bitmap(a).tolist())]
+        want += [len(np.setxor1d(a, b))] * 2
+    df = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    assert len({len(r[1]) for r in rows}) > 3 and any(len(r[1]) != len(r[2]) for r in rows)
+    for r in df.select("k", jaccard.bits_apart("a", "b").alias("n")).collect():
+        assert 0.5 * want[r.k] <= r.n <= want[r.k]
