@@ -7,10 +7,17 @@ that some piece may still begin with, the last token before it and the count the
 finitely many. The transducer is deterministic; each transition says how many tokens the text has more than
 before. States and transitions are made when they are first met and kept.
 
+A chunk's *state map* leads from the state before it to the state after it and the tokens in between. Maps
+compose: first one, then the other, counts added; that is associative, so the chunks of a text can be cut
+anywhere and their maps combined in a tree of any shape, or scanned. A map is compiled for the start state
+first; from any other state the chunk is walked only until it meets that path, as states soon do, and the rest
+follows.
+
 No piece goes across the start of a run of blanks, nor across a character that is in no piece. There the
 transducer is in its start state whatever came before, so the state map of a chunk between such places is
-constant, and composing maps adds their counts: the prefix scan over all chunks of a batch is one
-cumulative sum, whose differences at the rows' ends are the rows' counts.
+constant, and composing maps adds their counts: the prefix scan over all such chunks of a batch is one
+cumulative sum, whose differences at the rows' ends are the rows' counts. Where a stretch has no such place for
+long it is cut every ``PIECE`` characters, and its map is the composition of the pieces' maps.
 
 One map over the rows, no shuffle. A worker keeps at most ``STATES`` states and ``CACHE`` chunk maps, and
 makes them again when they are full.
@@ -33,6 +40,8 @@ from .common import chunks
 
 #: Bounds of what a worker keeps.
 STATES, CACHE, CHUNK = 300_000, 300_000, 48
+#: Characters of a piece of a long chunk.
+PIECE = 1024
 BLANK = "▁"
 
 
@@ -109,6 +118,53 @@ class Transducer:
         return at, total
 
 
+class StateMap:
+    """The state map of one chunk: called with a state, it gives the state after the chunk and the tokens."""
+
+    def __init__(self, transducer: Transducer, chunk: str):
+        self.transducer, self.chunk = transducer, chunk
+        #: the path from the start state: the states after each character, and the tokens up to there
+        self.path, self.sums, at, total = [0], [0], 0, 0
+        for char in chunk:
+            at, more = transducer.moves[at].get(char) or transducer.move(at, char)
+            total += more
+            self.path.append(at)
+            self.sums.append(total)
+        self.known: dict[int, tuple[int, int]] = {0: (at, total)}
+
+    def __call__(self, at: int) -> tuple[int, int]:
+        out = self.known.get(at)
+        if out is None:
+            state, total, moves = at, 0, self.transducer.moves
+            for i, char in enumerate(self.chunk):
+                if state == self.path[i]:
+                    state, total = self.path[-1], total + self.sums[-1] - self.sums[i]
+                    break
+                state, more = moves[state].get(char) or self.transducer.move(state, char)
+                total += more
+            out = self.known[at] = state, total
+        return out
+
+
+class Composed:
+    """One state map after another."""
+
+    def __init__(self, first, then):
+        self.first, self.then = first, then
+
+    def __call__(self, at: int) -> tuple[int, int]:
+        middle, a = self.first(at)
+        end, b = self.then(middle)
+        return end, a + b
+
+
+def compose(maps: list):
+    """The composition of one or more neighbouring maps, as a balanced tree."""
+    while len(maps) > 1:
+        maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
+
+
 class _Maps(dict):
     """The counts of the constant state maps of chunks met before."""
 
@@ -119,11 +175,12 @@ class _Maps(dict):
         t = self.transducer
         if len(t.states) >= STATES:
             t.clear()
+        if len(chunk) > CHUNK:
+            return compose([StateMap(t, chunk[i : i + PIECE]) for i in range(0, len(chunk), PIECE)])(0)[1]
         count = t.run(chunk)[1]
-        if len(chunk) <= CHUNK:
-            if len(t.maps) >= CACHE:
-                t.maps.clear()
-            t.maps[chunk] = count
+        if len(t.maps) >= CACHE:
+            t.maps.clear()
+        t.maps[chunk] = count
         return count
 
 

@@ -1,6 +1,7 @@
 """Byte-level BPE and token counts against the libraries, and round trips."""
 
 import base64
+import random
 
 import pytest
 import public_tokenizers
@@ -54,6 +55,26 @@ def test_counts_equal_the_library(pieces, text):
     assert tokencount.counter(MODEL).count([text, "", text]).tolist() == [len(pieces.encode(text)), 0, len(pieces.encode(text))]
 
 
+@settings(max_examples=150, deadline=None)
+@given(TEXT, st.lists(st.integers(0, 300), max_size=6), st.randoms())
+def test_state_maps_of_chunks_cut_anywhere_compose(pieces, text, cuts, draw):
+    t = tokencount.counter(MODEL).transducer
+    marked = tokencount.BLANK + text.replace(" ", tokencount.BLANK) if text else ""
+    cuts = [0, *sorted(min(c, len(marked)) for c in cuts), len(marked)]
+    maps = [tokencount.StateMap(t, marked[a:b]) for a, b in zip(cuts, cuts[1:])]
+    assert tokencount.compose(maps)(0) == t.run(marked) and t.run(marked)[1] == len(pieces.encode(text))
+    while len(maps) > 1:  # any shape of the tree
+        i = draw.randrange(len(maps) - 1)
+        maps[i : i + 2] = [tokencount.Composed(*maps[i : i + 2])]
+    assert maps[0](0) == t.run(marked)
+
+
+def test_a_long_text_without_blanks(pieces):
+    draw = random.Random(3)
+    text = "".join(draw.choice(["the", "ing", "ß", "tion", "漢字", "0x", "é", "a"]) for _ in range(500_000))
+    assert len(text) > 10**6 and tokencount.counter(MODEL).count([text]).tolist() == [len(pieces.encode(text))]
+
+
 def test_transducer_states_are_made_again_when_full(pieces, monkeypatch):
     monkeypatch.setattr(tokencount, "STATES", 20)
     monkeypatch.setattr(tokencount, "CACHE", 5)
