@@ -8,7 +8,9 @@ containment and the number of distinct shingles, all exactly while there are no
 The query also sketches an edited text, which takes a part of the *next* document in descending order of ids.
 Neighbours are found without a global window: ids are cut into ranges at quantiles, more ranges than
 partitions; a text travels once, to its range; a range's head goes to the range above as well, where the
-last document needs it. Only the ranges' bounds and heads (two numbers a range) come to the driver.
+last document needs it. An id that holds more than a range's share of the rows, and the rows without id, have
+several ranges, by the hash of the texts that orders them. Only the ranges' bounds and heads (a few numbers
+a range) come to the driver.
 
 DataFrame functions only. Defined results: null texts count as empty; a text without words has the empty
 sketch; two empty sketches resemble each other by 1, an empty one and another by 0. Documents of one id are
@@ -17,6 +19,8 @@ ordered by a hash of their texts, those without id come last. A sole document is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,28 +106,50 @@ def _range(ids: Column, bounds: list) -> Column:
     return F.when(ids.isNull(), 0).otherwise(coarse + F.size(F.filter(F.slice(every, coarse + 1, block), lambda b: b <= ids)))
 
 
+def _place(key: Column, order: Column, cuts: list, without: float, ranges: int) -> Column:
+    """The number of a row's range, in descending order of keys (nulls last) and then ascending of ``order``, a hash.
+
+    ``cuts`` are quantiles of the keys: one that comes up more than once is the key of more than a range's rows.
+    """
+    bounds = sorted(set(cuts))
+    at = _range(key, bounds)
+    part = (order.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    split = lambda n: F.least(F.floor(part * n), n - 1).cast("int")
+    # pieces of the rows whose key is the bound itself; the range's other keys come before them
+    pieces = [0] + [n + 1 if (n := cuts.count(b)) > 1 else 0 for b in bounds]
+    starts, total = [0] * len(pieces), 0
+    for r in range(len(pieces) - 1, -1, -1):
+        starts[r], total = total, total + 1 + pieces[r]
+    place = F.get(F.array(*map(F.lit, starts)), at)
+    if any(pieces):
+        own = F.get(F.array(*map(F.lit, pieces)), at)
+        place = place + F.when((own > 0) & (F.get(F.array(*map(F.lit, bounds)), at - 1) == key), 1 + split(own)).otherwise(0)
+    return F.when(key.isNull(), total + split(F.lit(max(1, math.ceil(without * ranges))))).otherwise(place).cast("int")
+
+
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", order: str = "th", ranges: int | None = None) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next row in descending order of ``key``; after the last: the first."""
     spark = docs.sparkSession
     n = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] if n > 1 else [0.5], max(10_000, 10 * n))).first()[0]
-    bounds = sorted(set(cuts or ())) if n > 1 else []
-    at = _range(F.col(key), bounds)
-    # the greatest id of each range that has rows
-    heads = {r[0]: r[1] for r in docs.select(at.alias("at"), key).groupBy("at").agg(F.max(key)).collect()}
-    if not heads:
+    cuts, rows, null = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)] if n > 1 else [0.5], max(10_000, 10 * n)), F.count("*"), F.count_if(F.col(key).isNull())).first()
+    if not rows:
         return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
-    above, own = sorted(heads), [heads.get(i) for i in range(len(bounds) + 1)]
-    to = {a: b for a, b in zip(above, above[1:])}
-    kind = dict(docs.dtypes)[key]
-    own_head = F.get(F.array(*[F.lit(x).cast(kind) for x in own]), F.col("__at"))
-    upper = F.get(F.array(*[F.lit(to.get(i)).cast("int") for i in range(len(own))]), F.col("__at"))
-    is_head = F.col(key).eqNullSafe(own_head)
+    at = _place(F.col(key), F.col(order), list(cuts or ()) if n > 1 else [], null / rows, n)
+    # the first row of each range that has rows
+    first = F.max(F.struct(F.col(key).alias("k"), F.bitwise_not(F.col(order)).alias("o")))
+    heads = {r[0]: (r[1].k, ~r[1].o) for r in docs.select(at.alias("at"), key, order).groupBy("at").agg(first).collect()}
+    used, kind = sorted(heads), dict(docs.dtypes)[key]
+    before = {b: a for a, b in zip(used, used[1:])}
+    slots = range(used[-1] + 1)
+    head_key = F.get(F.array(*[F.lit(heads.get(i, (None,))[0]).cast(kind) for i in slots]), F.col("__at"))
+    head_order = F.get(F.array(*[F.lit(heads[i][1] if i in heads else None).cast("bigint") for i in slots]), F.col("__at"))
+    upper = F.get(F.array(*[F.lit(before.get(i)).cast("int") for i in slots]), F.col("__at"))
+    is_head = F.col(key).eqNullSafe(head_key) & (F.col(order) == head_order)
     places = F.filter(
         F.array(
             F.struct(F.col("__at").alias("at"), F.lit(0).alias("ghost")),
             F.when(is_head & upper.isNotNull(), F.struct(upper.alias("at"), F.lit(1).alias("ghost"))),
-            F.when(is_head & (F.col("__at") == above[-1]), F.struct(F.lit(above[0]).alias("at"), F.lit(2).alias("ghost"))),
+            F.when(is_head & (F.col("__at") == used[0]), F.struct(F.lit(used[-1]).alias("at"), F.lit(2).alias("ghost"))),
         ),
         lambda x: x.isNotNull(),
     )

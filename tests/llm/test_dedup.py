@@ -203,6 +203,21 @@ def test_next_in_descending_order_of_ids(spark, odd, ranges):
     assert sketch.with_next(df.limit(0), ["t"], ranges=ranges).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 4, 20])
+def test_next_with_an_id_of_many_rows_and_many_rows_without_id(spark, ranges):
+    draw = random.Random(ranges)
+    ids = [7] * 90 + [None] * 80 + [draw.randrange(30) for _ in range(60)]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(ids)], "doc_id long, t string").withColumn("th", F.xxhash64("t")).repartition(3)
+    rows = sorted(df.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.th))
+    want = {r.t: n.t for r, n in zip(rows, [*rows[1:], rows[0]])}
+    out = sketch.with_next(df, ["t"], ranges=ranges)
+    assert {r.t: r.next_t for r in out.collect()} == want
+    if ranges > 1:
+        cuts, _, null = df.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+        at = sketch._place(F.col("doc_id"), F.col("th"), list(cuts), null / 230, ranges)
+        assert df.groupBy(at.alias("at")).count().agg(F.max("count")).first()[0] < 90
+
+
 def test_sketches_of_odd_rows(odd, none):
     out = sketch.report(odd).collect()
     assert len(out) == odd.count() and sketch.report(none).count() == 0
