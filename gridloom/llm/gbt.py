@@ -38,8 +38,8 @@ class Trees:
         return _sigmoid(self.margin(x))
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 2.0, ridge: float = 1.0) -> Trees:
-    """Fit to labels 0 and 1. ``least``: of the hessian in a leaf. One class only: a constant."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 2.0, ridge: float = 1.0, drawn: float = 1.0) -> Trees:
+    """Fit to labels 0 and 1. ``least``: of the hessian in a leaf; ``drawn``: the share of the rows that each tree grows on, drawn anew. One class only: a constant."""
     x, y = np.asarray(x, np.float64), np.asarray(y, np.float64)
     share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
     model = Trees(float(np.log(share / (1 - share))), depth)
@@ -48,11 +48,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     n, k = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
     binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-    margin, inner = np.full(n, model.base), 2**depth - 1
+    margin, inner, draw = np.full(n, model.base), 2**depth - 1, np.random.default_rng(0)
+    whole_x, whole_y, whole_binned = x, y, binned.astype(np.int32)
     for _ in range(trees):
-        p = _sigmoid(margin)
+        some = np.flatnonzero(draw.random(n) < drawn) if drawn < 1 else slice(None)
+        x, y, binned = whole_x[some], whole_y[some], whole_binned[some]
+        p = _sigmoid(margin[some])
         g, h = p - y, p * (1 - p)
-        feature, threshold, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(n, np.int64)
+        feature, threshold, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
         for level in range(depth):
             first, width = 2**level - 1, 2**level
             local, best = at - first, np.full(width, 1e-6)
@@ -74,14 +77,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
             for i in range(width):
                 if best[i] > 1e-6:
                     threshold[first + i] = edges[feature[first + i]][cut[i]]
-            at = 2 * at + 1 + (x[np.arange(n), feature[at]] > threshold[at])
+            at = 2 * at + 1 + (x[np.arange(len(y)), feature[at]] > threshold[at])
         leaf = at - inner
         gs, hs = np.bincount(leaf, g, inner + 1), np.bincount(leaf, h, inner + 1)
         value = -rate * gs / (hs + ridge)
-        margin += value[leaf]
         model.feature.append(feature)
         model.threshold.append(threshold)
         model.value.append(value)
+        margin += Trees(0.0, depth, [feature], [threshold], [value]).margin(whole_x)
     return model
 
 

@@ -8,8 +8,9 @@ descendants' can't contradict each other. The kept segments, each with its white
 spaces, are joined in page order.
 
 The trees are fitted on the driver, on ``PAGES`` pages made by a generator of page layouts (whose main text
-is known), and on at most ``SAMPLE`` pages of the table that mark one article themselves. Extraction is one
-map over the rows without a shuffle; whole pages are read.
+is known), and on at most ``SAMPLE`` pages of the table that mark one article themselves and have at most
+``NODES`` nodes. Executors make, parse and measure these pages; floats of their nodes come to the driver.
+Extraction is one map over the rows without a shuffle; whole pages are read, in time linear in their size.
 
 Defined results: a null or empty page, and one without text, gives an empty text. Broken and cut-off markup
 is read as browsers do, roughly. Repeated rows get equal rows; other columns are ignored.
@@ -31,6 +32,8 @@ from .htmltree import Node, features, parse
 
 #: Generated pages, and most pages of the table, that the trees are fitted on.
 PAGES, SAMPLE = 900, 250
+#: Most nodes of a page of the table that is fitted on; share of the nodes that a tree grows on.
+NODES, DRAWN = 2000, 0.4
 #: Marks main text in generated pages.
 _MARK = ""
 
@@ -59,7 +62,7 @@ def _extract(pages: list[str | None], trees: gbt.Trees) -> list[list[str]]:
     parsed = [parse(h) if h else [] for h in pages]
     rows = [features(x) for x in parsed if x]
     out: list[list[str]] = []
-    x = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.float64)
+    x = np.fromiter(chain.from_iterable(chain.from_iterable(rows)), np.float32)
     margins = trees.probability(x.reshape(sum(map(len, rows)), -1)) if rows else np.zeros(0)
     at = 0
     for nodes in parsed:
@@ -102,30 +105,40 @@ def _own_article(nodes: list[Node]) -> list[int] | None:
 
 def fit(pages: DataFrame, html: str = "html", key: str = "page_id") -> gbt.Trees:
     """Fit on generated pages and a bounded sample of ``pages``."""
-    x, y = [], []
-    for page in generate(PAGES):
-        nodes = parse(page)
-        labels = _label(nodes, lambda leaf: _MARK in leaf.text)
-        for n in nodes:
-            n.text = n.text.replace(_MARK, "")
-        x += features(nodes)
-        y += labels
+    spark = pages.sparkSession
+
+    def packed(nodes, labels):
+        x = np.array(features(nodes), np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([np.array(labels, np.int8).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["y", "x"])
+
+    def made(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                nodes = parse(_Page(random.Random(SEED + k)).html())
+                labels = _label(nodes, lambda leaf: _MARK in leaf.text)
+                for n in nodes:
+                    n.text = n.text.replace(_MARK, "")
+                yield packed(nodes, labels)
 
     def rows(batches):
         for b in chunks(batches, column=0):
             for page in b.column(0).to_pylist():
                 nodes = parse(page or "")
-                labels = _own_article(nodes)
+                labels = _own_article(nodes) if len(nodes) <= NODES else None
                 if labels:
                     # in half of the pages the marks that gave the labels are hidden from the trees
                     if len(page) % 2:
                         for n in nodes:
                             n.tag = "div" if n.tag in ("article", "main") else n.tag
-                    yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(features(nodes), pa.list_(pa.float64()))], ["y", "x"])
+                    yield packed(nodes, labels)
 
-    sample = bounded_sample(pages.where(F.col(html).isNotNull()).withColumn("all", F.lit(1)), key, "all", SAMPLE).select(html)
-    own = sorted((list(r.x), r.y) for r in sample.mapInArrow(rows, "y int, x array<double>").collect())
-    return gbt.fit(np.array(x + [r[0] for r in own], np.float64), np.array(y + [r[1] for r in own]), trees=50, depth=5, rate=0.2)
+    sample = bounded_sample(pages.where(F.col(html).isNotNull()).select(F.col(html).alias("h"), F.col(key).alias("k"), F.lit(1).alias("one")), "k", "one", SAMPLE).select("h")
+    # spread over the executors; a limit's rows are in one partition
+    found = spark.range(PAGES).repartition(32).mapInArrow(made, "y binary, x binary").collect() + sample.repartition(8).mapInArrow(rows, "y binary, x binary").collect()
+    found = sorted((bytes(r.y), bytes(r.x)) for r in found)
+    y = np.concatenate([np.frombuffer(r[0], np.int8) for r in found]).astype(np.float64)
+    x = np.concatenate([np.frombuffer(r[1], np.float32) for r in found]).reshape(len(y), -1).astype(np.float64)
+    return gbt.fit(x, y, trees=50, depth=5, rate=0.2, drawn=DRAWN)
 
 
 def main_text(pages: DataFrame, trees: gbt.Trees, html: str = "html", key: str = "page_id", *keep: str) -> DataFrame:
@@ -151,11 +164,14 @@ def report(pages: DataFrame) -> DataFrame:
 # --- pages whose main text is known
 
 
-def generate(n: int, seed: int = 7):
+#: The generated pages' seeds follow this one.
+SEED = 7_000_000
+
+
+def generate(n: int, seed: int = SEED):
     """``n`` pages of many layouts; main text is marked by one private character in each segment."""
-    rng = random.Random(seed)
-    for _ in range(n):
-        yield _Page(rng).html()
+    for k in range(n):
+        yield _Page(random.Random(seed + k)).html()
 
 
 class _Page:

@@ -7,7 +7,7 @@ A text gets the language of the centroid with the greatest cosine; it is *reject
 below the language's own distance bound, or if it has no letters at all.
 
 The centroids are fitted on at most ``per_lang`` labelled rows a language, fewer of each where there are many
-languages (about ``MAX_ROWS`` in all); the document frequencies are those of all labelled rows. Prediction is
+languages (``MAX_ROWS`` in all, of which each of as many languages has one); the document frequencies are those of all labelled rows. Prediction is
 one map over the rows: no shuffle, memory bounded by one chunk of texts.
 
 Defined results: null text, empty text and text without letters: ``und``, score 0, rejected. Rows that
@@ -17,11 +17,11 @@ ignored by ``predict`` and kept by ``filter_known``.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +39,7 @@ CENTROIDS = 4
 #: bound shrinks with the root of the distinct n-grams below FULL, as the cosine of a short text does.
 REJECT_SHARE, FULL = 0.6, 400
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MAP = np.full(256, 32, np.uint8)
 _MAP[97:123] = np.arange(97, 123)
 _MAP[65:91] = np.arange(97, 123)
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     # the sample has up to 1.2 times what it is asked for
     most = max(1, min(per_lang, int(MAX_ROWS / 1.2 / max(1, known.select("l").distinct().count()))))
-    picked = bounded_sample(known, "k", "l", most).select("l", "t")
+    picked = bounded_sample(known, "k", "l", most, "t", MAX_ROWS).select("l", "t").repartition(8)
 
     def sparse(batches):
         for b in chunks(batches, rows=ROWS):

@@ -5,7 +5,8 @@ than in others, with their log odds. A text's features are the densities of lexi
 strength, how often a lexicon word stands near a word of the second person, and the rates of capitals,
 punctuation and obfuscation (symbols or digits inside words, stretched letters, words that are in the
 lexicon only after such disguise is taken off). The trees' scores are calibrated by isotonic regression on
-rows that the trees have not seen.
+rows that the trees have not seen. (The lexicon has seen them: with few labelled rows, taking them from it costs more
+than it gains. How far scores are off on rows that nothing has seen is tested.)
 
 The classifier is fitted on at most about ``PER_CLASS`` labelled rows of each class; lexicon counts are
 gathered on the executors and at most ``LEXICON`` entries come to the driver. Scoring is one map over the

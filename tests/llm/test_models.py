@@ -42,6 +42,37 @@ def test_texts_far_from_all_languages_are_rejected(spark):
     assert langid.filter_known(docs, model).count() >= 0.999 * docs.count()
 
 
+def test_nearest_centroid_equals_a_plain_version(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    m = langid.fit(docs)
+    texts = [r for r in docs.select("doc_id", "text").collect() if r.text][:60]
+    got = {r.doc_id: r for r in langid.predict(docs, m).collect()}
+    for doc, text in texts:
+        grams = langid.counts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist()
+        v = {k: float(np.log1p(c)) * float(m.idf[k]) for k, c in enumerate(grams) if c}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in m.vectors]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert got[doc].lang_pred == m.langs[m.owner[best]] and abs(got[doc].score - cos[best]) < 1e-4
+
+
+def test_numbers_that_look_like_letters_are_no_language(spark):
+    m = langid.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    rows = langid.predict(spark.createDataFrame([(1, "² ½ ①"), (2, "ª"), (3, "12 _ 3")], "doc_id long, text string"), m).collect()
+    assert [r.lang_pred == "und" for r in rows] == [True, False, True]
+
+
+def test_samples_are_bounded_and_even(spark):
+    from gridloom.llm.common import bounded_sample
+
+    rows = [(None, "same", "a")] * 3000 + [(i, f"t{i}", "a") for i in range(3000)] + [(i, f"u{i}", "b") for i in range(40)] + [(7, "x", None)]
+    df = spark.createDataFrame(rows, "k long, t string, l string")
+    got = bounded_sample(df, "k", "l", 100, "t").collect()
+    by = {l: sum(r.l == l for r in got) for l in ("a", "b", None)}
+    assert 25 < by["a"] <= 130 and by["b"] == 40 and by[None] == 1
+    assert bounded_sample(df, "k", "l", 100, "t", 50).count() == 50
+
+
 def test_counts_ignore_case_and_document_borders():
     a = langid.counts(np.frombuffer("ÀBCabc".encode(), np.uint8), np.array([0, 4, 7]))
     b = langid.counts(np.frombuffer("àbc".encode(), np.uint8), np.array([0, 4]))
@@ -57,6 +88,16 @@ def test_toxicity_of_held_out_rows(spark):
     assert (good >= 0.5).mean() < 0.08
 
 
+def test_toxicity_is_calibrated_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
+    rows = toxicity.score(docs.join(labels.where("doc_id % 3 = 0").select("doc_id"), "doc_id", "left_semi"), model).join(labels, "doc_id").collect()
+    p, y = np.array([r.score for r in rows]), np.array([r.toxic for r in rows])
+    assert len(y) > 1000 and abs(p.mean() - y.mean()) < 0.02
+    cell = np.minimum((p * 10).astype(int), 9)
+    assert sum(abs(p[cell == k].sum() - y[cell == k].sum()) for k in range(10)) / len(y) < 0.04
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1), (0, 0), (4, 0), (5, 1), (6, 0), (None, 1), (8, None), (99, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -117,6 +158,24 @@ def test_parser_blocks():
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == ["1", "2", "3"]
 
 
+def test_parsing_is_linear_in_the_page():
+    import time
+
+    pages = ["<div>" * 200_000, "x</div>" * 200_000, "<b><table><tr><td>" + "<i>" * 100_000 + "</b>" * 100_000, "<ul>" + "<li>a" * 100_000, "<a '" * 50_000, "<div class='a b'><p>some <a href=x>words</a> &amp; y</p></div>" * 85_000]
+    assert len(pages[-1]) > 5_000_000
+    for page in pages:
+        began = time.perf_counter()
+        htmlmain.features(parse(page))
+        assert time.perf_counter() - began < 60
+
+
+def test_references_end_at_tags_and_paragraphs_at_blocks():
+    text = lambda h: [n.text for n in parse(h) if n.tag == "#text"]
+    assert text("a &am<b>p;</b>") == ["a &amp;"] and text("a &amp; <b>&lt;</b>") == ["a & <"]
+    nodes = parse("<p>" + "<b><i><u><s><em><q><small>" + "one<p>two")
+    assert [n.tag for n in nodes if n.depth == 1] == ["p", "p"]
+
+
 def test_decoding_never_keeps_below_a_dropped_node():
     nodes = parse("<div><p>a</p><p>b</p></div><div><p>c</p></div>")
     rng = np.random.default_rng(3)
