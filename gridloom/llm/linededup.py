@@ -34,10 +34,10 @@ _WORD = r"[^ \t\x0B\f\r]+"
 def lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(k, th, pos, h, w): hash and words of each line that isn't blank; th tells texts of one key apart.
 
-    One shuffle brings a document's lines together for all that follows; rows that repeat count once.
+    Rows that repeat count once, by partial aggregates, so that no number of them meets in one task.
     """
     split = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
-    return split.withColumn("w", F.regexp_count("line", F.lit(_WORD)).cast("long")).where("w > 0").select("k", "th", "pos", F.xxhash64(F.trim("line")).alias("h"), "w").repartition("k", "th").dropDuplicates(["k", "th", "pos"])
+    return split.withColumn("w", F.regexp_count("line", F.lit(_WORD)).cast("long")).where("w > 0").select("k", "th", "pos", F.xxhash64(F.trim("line")).alias("h"), "w").groupBy("k", "th", "pos").agg(F.min("h").alias("h"), F.min("w").alias("w"))
 
 
 def fingerprints(of: DataFrame, min_words: int) -> DataFrame:
