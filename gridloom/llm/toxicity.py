@@ -5,8 +5,9 @@ than in others, with their log odds. A text's features are the densities of lexi
 strength, how often a lexicon word stands near a word of the second person, and the rates of capitals,
 punctuation and obfuscation (symbols or digits inside words, stretched letters, words that are in the
 lexicon only after such disguise is taken off). The trees' scores are calibrated by isotonic regression on
-rows that the trees have not seen. (The lexicon has seen them: with few labelled rows, taking them from it costs more
-than it gains. How far scores are off on rows that nothing has seen is tested.)
+unseen rows: the labelled rows are cut into ``FOLDS`` folds by a hash of their key, and a fold's scores for the
+calibration come from a lexicon and trees that are fitted to the other folds alone. The lexicon and the trees
+that score are fitted to all.
 
 The classifier is fitted on at most about ``PER_CLASS`` labelled rows of each class; lexicon counts are
 gathered on the executors and at most ``LEXICON`` entries come to the driver. Scoring is one map over the
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import bounded_sample, chunks, held_out
+from .common import bounded_sample, checkpoint, chunks, held_out
 
 #: Bounds: labelled rows of a class, entries of the lexicon.
 PER_CLASS, LEXICON = 4000, 3000
+#: Folds of the labelled rows.
+FOLDS = 4
 #: An entry has this log odds at least, and comes up in so many toxic texts.
 ODDS, SEEN = 1.0, 4
 PREFIXES = range(3, 8)
@@ -134,39 +137,55 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", per_class: int = PER_CLASS) -> Scorer:
     """Fit on a bounded sample of the labelled documents."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(F.col(label)).cast("int").alias("y"))
-    picked = bounded_sample(known, "k", "y", per_class)
-    # the sample has at most 2.4 x per_class narrow rows
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("y", "t")
+    fold = F.pmod(F.xxhash64("k", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    # narrow rows, at most 1.2 times as many as asked for
+    picked = checkpoint(bounded_sample(known, "k", "y", per_class).withColumn("fold", fold))
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k").select("y", "fold", "t")
+    sizes, whole = np.zeros((2, FOLDS)), [0, 0]
+    for y, f, n in picked.groupBy("y", "fold").count().collect():
+        sizes[int(y == 1), f] += n
+    for y, n in known.groupBy("y").count().collect():
+        whole[int(y == 1)] += n
+    lexicons = [Lexicon({t[1:]: o for t, o in top if t[0] == "w"}, {t[1:]: o for t, o in top if t[0] == "p"}) for top in _terms(sample, sizes)]
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+
+    def dense(batches):
+        for b in chunks(batches, column=2):
+            x = [[v for lexicon in shared.value for v in features(t, lexicon)] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["y", "fold", "x"])
+
+    rows = sorted((list(r.x), r.fold, r.y) for r in sample.mapInArrow(dense, "y int, fold int, x array<double>").collect())
+    if not rows:
+        return Scorer(lexicons[-1], gbt.Trees(-30.0), gbt.Isotonic(np.array([0.0, 1.0]), np.array([0.0, 0.0])))
+    x, y, of = np.array([r[0] for r in rows]).reshape(len(rows), len(lexicons), len(NAMES)), np.array([r[2] for r in rows], float), np.array([r[1] for r in rows])
+    unseen = np.zeros(len(y))
+    for f in range(FOLDS):
+        if (of == f).any():
+            unseen[of == f] = gbt.fit(x[of != f, f], y[of != f]).probability(x[of == f, f])
+    # a class of which the sample holds a part only counts in full for the probabilities
+    weight = np.where(y == 1, *(max(1.0, whole[k] / max(1, sizes[k].sum())) for k in (1, 0)))
+    return Scorer(lexicons[-1], gbt.fit(x[:, -1], y), gbt.isotonic(unseen, y, weight))
+
+
+def _terms(sample: DataFrame, sizes: np.ndarray):
+    """For each fold the best terms of the others with their log odds, and at last those of all folds."""
 
     def terms(batches):
-        for b in chunks(batches):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for b in chunks(batches, column=2):
+            for y, f, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 seen = {w for w in words(t or "") if w}
                 out = [f"w{w}" for w in seen] + list({f"p{w[:k]}" for w in seen for k in PREFIXES if k <= len(w)})
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out), pa.array([y] * len(out), pa.int32())], ["term", "y"])
-
-    sizes, all_sizes = ({r[0]: r[1] for r in x.groupBy("y").count().collect()} for x in (picked, known))
-    bad, good = max(1, sizes.get(1, 0)), max(1, sizes.get(0, 0))
-    by_term = sample.mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")).where(F.col("bad") >= SEEN)
-    odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good + 1.0))
-    top = by_term.select("term", odds.alias("odds"), "bad").where(F.col("odds") >= ODDS).orderBy((F.col("odds") * F.sqrt("bad")).desc(), "term").limit(LEXICON).collect()
-    lexicon = Lexicon({r.term[1:]: r.odds for r in top if r.term[0] == "w"}, {r.term[1:]: r.odds for r in top if r.term[0] == "p"})
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def dense(batches):
-        for b in chunks(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t, shared.value) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
-
-    rows = sorted((list(r.x), r.y) for r in sample.mapInArrow(dense, "y int, x array<double>").collect())
-    x, y = np.array([r[0] for r in rows]).reshape(len(rows), len(NAMES)), np.array([r[1] for r in rows], float)
-    if not len(y):
-        return Scorer(lexicon, gbt.Trees(-30.0), gbt.Isotonic(np.array([0.0, 1.0]), np.array([0.0, 0.0])))
-    part = np.arange(len(y)) % 4 == 1
-    half = gbt.fit(x[~part], y[~part])
-    # a class of which the sample holds a part only counts in full for the probabilities
-    weight = np.where(y[part] == 1, *(max(1.0, all_sizes.get(k, 0) / max(1, sizes.get(k, 0))) for k in (1, 0)))
-    return Scorer(lexicon, half, gbt.isotonic(half.probability(x[part]), y[part], weight))
+                    yield pa.RecordBatch.from_arrays([pa.array(out), pa.array([y] * len(out), pa.int32()), pa.array([f] * len(out), pa.int32())], ["term", "y", "fold"])
+
+    counts = [F.count_if((F.col("y") == y) & (F.col("fold") != f)).alias(f"n{y}_{k}") for k, f in enumerate((*range(FOLDS), -1)) for y in (0, 1)]
+    by_term = checkpoint(sample.mapInArrow(terms, "term string, y int, fold int").groupBy("term").agg(*counts).where(F.col(f"n1_{FOLDS}") >= SEEN))
+    for k in range(FOLDS + 1):
+        others = sizes.sum(axis=1) - (sizes[:, k] if k < FOLDS else 0)
+        bad, good = F.col(f"n1_{k}"), F.col(f"n0_{k}")
+        odds = F.log((bad + 0.5) / F.lit(max(1, int(others[1])) + 1.0)) - F.log((good + 0.5) / F.lit(max(1, int(others[0])) + 1.0))
+        top = by_term.where(bad >= SEEN).select("term", odds.alias("odds"), bad.alias("n")).where(F.col("odds") >= ODDS)
+        yield top.orderBy((F.col("odds") * F.sqrt("n")).desc(), "term").limit(LEXICON).select("term", "odds").collect()
 
 
 def score(docs: DataFrame, model: Scorer, text: str = "text", key: str = "doc_id") -> DataFrame:
