@@ -120,7 +120,7 @@ def read_dense(spark: SparkSession, path: str) -> tuple[SparseMatrix, Header]:
         raise ValueError(f"no size line: {path}")
     rows, cols = map(int, words)
     lines = spark.read.text(path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    at = number_lines(lines).where("idx > 0").select((F.col("idx") - 1).alias("idx"), F.trim("value").cast("double").alias("val"))
+    at = number_lines(lines).where("idx > 0").select((F.col("idx") - 1).alias("idx"), F.trim("value").try_cast("double").alias("val"))
     e = at.where("val <> 0").select(F.pmod("idx", F.lit(rows)).alias("i"), F.floor(F.col("idx") / rows).alias("j"), "val")
     return SparseMatrix(e, rows, cols), Header(banner, rows, cols, rows * cols)
 
