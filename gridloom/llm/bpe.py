@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-#: A string of at most so many bytes is a leaf of the tree.
-LEAF = 6
+#: A string of at most so many bytes is a leaf of the tree; so many tokens are one when decoding.
+LEAF, TOKENS = 6, 256
 #: Matches of at most MATCH characters and strings of at most SHORT bytes are kept, twice so many of each.
-CACHE, MATCH, SHORT = 300_000, 32, 16
+CACHE, MATCH, SHORT = 120_000, 32, 16
 NO_RANK = 1 << 60
 
 
@@ -137,7 +137,11 @@ class Codec:
         return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        """Up the tree: the bytes of a few tokens are a leaf, and neighbours are joined until one string is left."""
+        parts = [b"".join(map(self.bytes.__getitem__, ids[i : i + TOKENS])) for i in range(0, len(ids), TOKENS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 class _Recent(dict):

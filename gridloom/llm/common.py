@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back, at the end of a task: a worker lives on, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches, size: int = CHUNK_BYTES, column: int = 1, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of at most ``rows`` rows whose text column holds about ``size`` bytes, at least one row each."""
     for batch in batches:
@@ -35,6 +45,7 @@ def chunks(batches, size: int = CHUNK_BYTES, column: int = 1, rows: int = 1024)
             to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def _lengths(column: pa.Array) -> list[int]:
