@@ -4,7 +4,8 @@ Two sets are linked if their likeness reaches a bound; documents of one connecte
 No link is lost to a radius, a sample or a cap:
 
 * Shingles have one order: that of their hashes, but those that are frequent in a sample come last. (The sample
-  decides how many candidates there are and nothing else; any order finds all links.) Sets of likeness t share one of the first
+  decides how many candidates there are and nothing else; any order finds all links. It grows with the table, so that
+  what counts as frequent is a number of holders and not a share.) Sets of likeness t share one of the first
   n - ceil(t n) + 1 shingles of each, so only those are indexed; rows that meet under a shingle are
   candidates unless their sizes or their places in the order rule the likeness out.
 * Each set has a bitmap of at least four bits a shingle: bit b tells whether an odd number of its shingles fall on b.
@@ -23,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, checkpoint, chunks, trim
+from .common import ROWS, broadcast_if_few, checkpoint, chunks, trim
 from .graph import components
 
 #: Candidates for each row of a shingle, and pairs of fitting sizes, beyond which it is dense.
 EACH, FITTING = 8, 64
-#: Rows of the sample that tells frequent shingles; rows of it that hold one; most that are told.
-SAMPLE, OFTEN, MOST_OFTEN = 10_000, 5, 100_000
+#: Least rows and share of the sample that tells frequent shingles; rows of it that hold one; most that are told.
+SAMPLE, SHARE, OFTEN, MOST_OFTEN = 10_000, 0.05, 5, 400_000
 #: Shingles of a block of a family's sets; least bits of a bitmap.
 BLOCK, BITS = 1 << 20, 1024
 
@@ -42,7 +43,11 @@ def least_overlap(n, similarity: float):
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     from .simhash import shingle_hashes
 
-    return np.unique(shingle_hashes(text, words).astype(np.uint64))
+    return _distinct(shingle_hashes(text, words))
+
+
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes.astype(np.uint64))
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
@@ -71,7 +76,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def frequent(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> np.ndarray:
     """The shingles that come last in the order."""
-    rate = SAMPLE / max(1, docs.count())
+    n = max(1, docs.count())
+    rate = max(SAMPLE, SHARE * n) / n
     some = docs.where(F.pmod(F.xxhash64(key, F.lit("order")), F.lit(1_000_000)) < int(1e6 * rate)).select(key, text)
 
     def run(batches):
@@ -79,7 +85,7 @@ def frequent(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in b.column(1).to_pylist())]).view(np.int64))], ["shingle"])
 
     often = some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(MOST_OFTEN)
-    return np.sort(np.array([r[0] for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("shingle").toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -232,10 +238,8 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return links
 
 
-def _families(chains: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """(u, v): a spanning forest of the links within each family (``sets`` have name and shingles)."""
-    reach = components(chains)
-    member = reach.union(reach.select("component", "component").distinct()).toDF("name", "family")
+def _families(member: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(u, v): a spanning forest of the links within each family (``member``: name, family; ``sets`` have name and shingles)."""
     rows = member.join(sets, "name")
     blocks = rows.groupBy("family").agg(F.ceil(F.sum(F.size("shingles")) / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
@@ -267,16 +271,32 @@ def _families(chains: DataFrame, sets: DataFrame, similarity: float, block: int)
     return rows.repartition(*keys).sortWithinPartitions(*keys, "name").mapInArrow(run, "u long, v long").distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, text: str, key: str, block: int = BLOCK) -> DataFrame:
-    """(u, v): links of names, enough to connect all sets that the true links connect (``sets``: name, n, prefix, bits, least)."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+
+
+def links(docs: DataFrame, sets: DataFrame, names: DataFrame, words: int, similarity: float, text: str, key: str, block: int = BLOCK) -> DataFrame:
+    """(u, v): links of names, enough to connect all sets that the true links connect.
+
+    ``sets``: name, n, prefix, bits; ``names``: name, least.
+    """
     found = checkpoint(candidates(sets, similarity))
-    of = sets.select("name", F.col("n").alias("__n"), F.col("bits").alias("__bits"))
+    reach = components(found.where("dense").select("u", "v"))
+    member = checkpoint(reach.union(reach.select("component", "component").distinct()).toDF("name", "family"))
+    few = broadcast_if_few(member)
     pairs = found.where(~F.col("dense")).select("u", "v")
+    for end in ("u", "v"):
+        pairs = pairs.join(few.toDF(end, f"family_{end}"), end, "left")
+    # the families' own search finds the links inside of them
+    pairs = checkpoint(pairs.where(~F.coalesce(F.col("family_u") == F.col("family_v"), F.lit(False))).select("u", "v"))
+    of = sets.select("name", F.col("n").alias("__n"), F.col("bits").alias("__bits"))
+    needed = checkpoint(_ends(pairs))
+    if needed.count() <= ROWS:
+        of = of.join(F.broadcast(needed), "name", "left_semi")
     for end in ("u", "v"):
         pairs = pairs.join(of.toDF(end, f"n_{end}", f"bits_{end}"), end)
     pairs = checkpoint(pairs.where(bits_apart("bits_u", "bits_v") <= (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-9).select("u", "v"))
-    dense = found.where("dense").select("u", "v")
-    ends = checkpoint(pairs.union(dense).select(F.explode(F.array("u", "v")).alias("name")).distinct().join(sets.select("name", "least"), "name").select("name", F.col("least").alias("__least")))
+    ends = checkpoint(_ends(pairs).union(member.select("name")).distinct().join(names, "name").select("name", F.col("least").alias("__least")))
     read = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(broadcast_if_few(ends), F.col("__key").eqNullSafe(F.col("__least"))).select("name", "__text")
 
     def run(batches):
@@ -290,4 +310,4 @@ def links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, text:
     pairs = pairs.join(whole.select(F.col("name").alias("u"), F.col("shingles").alias("a")), "u").join(whole.select(F.col("name").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     alike = pairs.where(shared / (F.size("a") + F.size("b") - shared) >= similarity).select("u", "v")
-    return alike.union(_families(dense, whole, similarity, block)).distinct()
+    return alike.union(_families(member, whole, similarity, block)).distinct()

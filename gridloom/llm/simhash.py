@@ -368,13 +368,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     """(key, th, component_id, first) for each row, by links of texts whose shingles have that Jaccard likeness.
 
     Fingerprints are a weak guide at such a likeness, so the pairs come from a prefix filter over the shingles
-    and are verified by all of them (``jaccard``). Documents of equal shingle sets are one class. ``th`` is a
-    hash of the text; ``first`` tells the documents of the component's least key, of one class of them.
+    and are verified by all of them (``jaccard``). Documents of equal shingle sets are
+    one class. ``th`` is a hash of the text; ``first`` tells the documents of the component's least key, of one
+    class of them.
     """
-    prints = checkpoint(jaccard.prefixes(docs, words, similarity, text, key))
-    sets = checkpoint(prints.groupBy("name").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    found = jaccard.links(docs, sets, words, similarity, text, key)
-    codes = sets.select(F.col("name").alias("fp"), "least")
+    prints = checkpoint(jaccard.prefixes(docs, words, similarity, text, key).withColumn("row", F.monotonically_increasing_id()))
+    names = checkpoint(prints.groupBy("name").agg(F.min(key).alias("least"), F.min("row").alias("one"), F.count("*").alias("rows")))
+    # one row of each set; what isn't wanted is few or narrow, and prefixes and bitmaps stay where they are
+    copies = checkpoint(prints.select("name", "row").join(broadcast_if_few(names.where("rows > 1").select("name", "one")), "name").where("row <> one").select("row"))
+    sets = prints.join(broadcast_if_few(copies), "row", "left_anti").select("name", "n", "prefix", "bits")
+    found = jaccard.links(docs, sets, names.select("name", "least"), words, similarity, text, key)
+    codes = names.select(F.col("name").alias("fp"), "least")
     ids = _ids(codes, found, "class")
     rows = prints.select(key, "th", F.col("name").alias("fp")).join(ids, "fp")
     return rows.select(key, "th", "component_id", (F.col("fp").eqNullSafe(F.col("class")) & F.col(key).eqNullSafe(F.col("component_id"))).alias("first"))

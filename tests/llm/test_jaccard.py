@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from gridloom.llm import jaccard, simhash
+from gridloom.llm.common import checkpoint
 
 SCHEMA = "doc_id long, text string"
 
@@ -113,3 +114,25 @@ def test_bitmaps_differ_no_more_than_sets(spark):
     assert len({len(r[1]) for r in rows}) > 3 and any(len(r[1]) != len(r[2]) for r in rows)
     for r in df.select("k", jaccard.bits_apart("a", "b").alias("n")).collect():
         assert 0.5 * want[r.k] <= r.n <= want[r.k]
+
+
+def test_shingles_of_many_holders_are_frequent_in_a_table_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 40)
+    draw, line = random.Random(11), "one line that two hundred of them have"
+    docs = spark.createDataFrame([(i, " ".join(text(12, draw)) + (f" {line}" if i % 20 == 0 else "")) for i in range(4000)], SCHEMA)
+    assert set(simhash.shingle_hashes(line, 5).tolist()) <= set(jaccard.frequent(docs, 5).tolist())
+
+
+def test_prefixes_and_bitmaps_are_written_once_and_not_dealt_out(spark, monkeypatch):
+    wide, plans, links = [], [], jaccard.links
+    keep = lambda df: (wide.append(df.columns) if "prefix" in df.columns else None, checkpoint(df))[1]
+
+    def watched(docs, sets, *rest):
+        plans.append(sets._jdf.queryExecution().toString())
+        return links(docs, sets, *rest)
+
+    monkeypatch.setattr(simhash, "checkpoint", keep)
+    monkeypatch.setattr(jaccard, "links", watched)
+    docs = [(i, " ".join(t)) for i, t in enumerate([text(40, random.Random(k // 2)) for k in range(20)])]
+    assert found(spark, docs) == brute(docs)
+    assert len(wide) == 1 and "Exchange hashpartitioning" not in plans[0]
