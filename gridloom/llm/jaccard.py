@@ -1,8 +1,9 @@
-"""Near-duplicates by the exact Jaccard likeness of shingle sets, found by a prefix filter.
+"""The exact check of near-duplicates by the Jaccard likeness of shingle sets, and an exact way for those that SimHash leaves.
 
 Two sets are linked if their likeness reaches a bound; documents of one connected component are near-duplicates.
 No link is lost to a radius, a sample or a cap:
 
+* Sets that a SimHash search has brought together are a family (see below), and their pairs are no candidates here.
 * Shingles have one order: that of their hashes, but those that are frequent in a sample come last. (The sample
   decides how many candidates there are and nothing else; any order finds all links. It grows with the table, so that
   what counts as frequent is a number of holders and not a share.) Sets of likeness t share one of the first
@@ -12,7 +13,7 @@ No link is lost to a radius, a sample or a cap:
   Two bitmaps (the larger folded to the size of the other) differ in no more bits than the sets do in shingles,
   which rules out most candidates; the others are verified by their whole sets, which only they need.
 * A shingle with many candidates for its rows is *dense*. It yields a chain of its rows in place of their
-  pairs. Sets that dense shingles chain together form a family, whose sets are gathered (pairs of blocks of
+  pairs. Sets that dense shingles or SimHash chain together form a family, whose sets are gathered (pairs of blocks of
   them, if they are many) and searched breadth-first by their exact likeness: each set is compared with all
   candidates that no set has reached yet. That gives a spanning forest of the true links, never all of them.
 """
@@ -89,7 +90,9 @@ def frequent(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, th, name, n, prefix, bits) for each row: a hash of its text, the set's name (equal sets have the same), size, indexed shingles and bitmap."""
+    """(key, th, fp, name, n, prefix, bits) for each row: a hash of its text, its fingerprint, the set's name (equal sets have the same), size, indexed shingles and bitmap."""
+    from .simhash import fingerprint, shingle_hashes
+
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, text, key))
 
     def ordered(s):
@@ -98,14 +101,16 @@ def prefixes(docs: DataFrame, words: int, similarity: float, text: str = "text",
 
     def run(batches):
         for b in chunks(batches):
-            sets = [shingle_set(t, words) for t in b.column(1).to_pylist()]
+            hashes = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
+            fp = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [_distinct(h) for h in hashes]
             n = np.array([len(s) for s in sets])
             first = np.minimum(n, n - least_overlap(n, similarity) + 1)
             names = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
             bits = _lists([bitmap(s).view(np.uint64) for s in sets])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(names), pa.array(n.astype(np.int32)), _lists([ordered(s)[:k] for s, k in zip(sets, first)]), bits], [key, "th", "name", "n", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array(names), pa.array(n.astype(np.int32)), _lists([ordered(s)[:k] for s, k in zip(sets, first)]), bits], [key, "th", "fp", "name", "n", "prefix", "bits"])
 
-    return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, th long, name long, n int, prefix array<long>, bits array<long>")
+    return docs.select(key, text, F.xxhash64(text).alias("th")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, th long, fp long, name long, n int, prefix array<long>, bits array<long>")
 
 
 def candidates(sets: DataFrame, similarity: float) -> DataFrame:
@@ -275,13 +280,13 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
 
 
-def links(docs: DataFrame, sets: DataFrame, names: DataFrame, words: int, similarity: float, text: str, key: str, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, names: DataFrame, near: DataFrame, words: int, similarity: float, text: str, key: str, block: int = BLOCK) -> DataFrame:
     """(u, v): links of names, enough to connect all sets that the true links connect.
 
-    ``sets``: name, n, prefix, bits; ``names``: name, least.
+    ``sets``: name, n, prefix, bits; ``names``: name, least; ``near``: (u, v), a chain of the sets that a search has brought together.
     """
     found = checkpoint(candidates(sets, similarity))
-    reach = components(found.where("dense").select("u", "v"))
+    reach = components(found.where("dense").select("u", "v").union(near))
     member = checkpoint(reach.union(reach.select("component", "component").distinct()).toDF("name", "family"))
     few = broadcast_if_few(member)
     pairs = found.where(~F.col("dense")).select("u", "v")

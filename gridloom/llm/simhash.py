@@ -360,15 +360,26 @@ def cluster(docs: DataFrame, words: int, radius: int, text: str = "text", key: s
     return prints.join(ids, "fp").select(key, hexadecimal().alias("fingerprint"), "component_id")
 
 
-#: Likeness of ``near_duplicates``.
-SIMILARITY = 0.8
+#: Likeness of ``near_duplicates``, and the radius of the search that goes before.
+SIMILARITY, RADIUS = 0.8, 3
+
+
+def together(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v): a chain of the sets (``name``) that fingerprints (``fp``) within the radius connect, one link a set and component."""
+    of = checkpoint(prints.select("name", "fp").distinct())
+    codes = checkpoint(of.select("fp").distinct())
+    reach = components(links(codes, plan(*bit_counts(codes), radius), radius)).toDF("fp", "component")
+    of = checkpoint(of.join(reach, "fp", "left").select("name", F.coalesce("component", "fp").alias("component")).distinct())
+    joint = of.groupBy("component").agg(F.min("name").alias("u"), F.count("*").alias("n")).where("n > 1")
+    return checkpoint(of.join(joint, "component").where("name <> u").select("u", F.col("name").alias("v")).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, th, component_id, first) for each row, by links of texts whose shingles have that Jaccard likeness.
 
-    Fingerprints are a weak guide at such a likeness, so the pairs come from a prefix filter over the shingles
-    and are verified by all of them (``jaccard``). Documents of equal shingle sets are
+    The search by fingerprints within ``RADIUS`` brings texts together, and all pairs of what it brings together are
+    checked by their whole shingle sets. Texts may be that much alike and have fingerprints further apart: a prefix
+    filter over the shingles finds these, so that no link is lost (``jaccard``). Documents of equal shingle sets are
     one class. ``th`` is a hash of the text; ``first`` tells the documents of the component's least key, of one
     class of them.
     """
@@ -377,7 +388,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     # one row of each set; what isn't wanted is few or narrow, and prefixes and bitmaps stay where they are
     copies = checkpoint(prints.select("name", "row").join(broadcast_if_few(names.where("rows > 1").select("name", "one")), "name").where("row <> one").select("row"))
     sets = prints.join(broadcast_if_few(copies), "row", "left_anti").select("name", "n", "prefix", "bits")
-    found = jaccard.links(docs, sets, names.select("name", "least"), words, similarity, text, key)
+    found = jaccard.links(docs, sets, names.select("name", "least"), together(prints), words, similarity, text, key)
     codes = names.select(F.col("name").alias("fp"), "least")
     ids = _ids(codes, found, "class")
     rows = prints.select(key, "th", F.col("name").alias("fp")).join(ids, "fp")

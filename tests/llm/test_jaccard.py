@@ -136,3 +136,19 @@ def test_prefixes_and_bitmaps_are_written_once_and_not_dealt_out(spark, monkeypa
     docs = [(i, " ".join(t)) for i, t in enumerate([text(40, random.Random(k // 2)) for k in range(20)])]
     assert found(spark, docs) == brute(docs)
     assert len(wide) == 1 and "Exchange hashpartitioning" not in plans[0]
+
+
+def test_near_copies_are_found_by_simhash_and_checked(spark, monkeypatch):
+    """Without any other search: edits within the radius, and texts of one fingerprint that aren't alike."""
+    monkeypatch.setattr(jaccard, "candidates", lambda sets, similarity: spark.createDataFrame([], "u long, v long, dense boolean"))
+    draw, docs = random.Random(12), []
+    for _ in range(40):
+        one = text(400, draw)
+        docs += [one, [*one[:-1], "other"]]
+    docs += [["buy"] * 200 + text(150, draw) for _ in range(6)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    codes = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in docs]
+    near = {2 * i + 1: 2 * i for i in range(40) if (codes[2 * i] ^ codes[2 * i + 1]).bit_count() <= simhash.RADIUS}
+    assert len(near) > 20 and len(set(codes[80:])) == 1
+    got = found(spark, docs)
+    assert near == {k: v for k, v in got.items() if k != v}
