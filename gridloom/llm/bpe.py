@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, trim
 
 #: A string of at most so many bytes is a leaf of the tree; so many tokens are one when decoding.
 LEAF, TOKENS = 6, 256
@@ -52,6 +52,12 @@ class Codec:
         self.known = _Recent(self.encode_match, MATCH)
         self.short = _Recent(self.merge, SHORT)
 
+    def forget(self) -> None:
+        """Drop what was met, at the end of a task: a worker lives on, and other stages need the room."""
+        for kept in (self.fits, self.known, self.known.old, self.short, self.short.old):
+            kept.clear()
+        trim()
+
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
         with open(path, "rb") as f:
@@ -191,6 +197,7 @@ def _run(docs: DataFrame, path: str, pattern: str, text: str, key: str, back: bo
         for b in chunks(batches):
             rows = [c.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _ids(rows), *[pa.array(map(c.decode, rows), pa.binary())] * back], names)
+        c.forget()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, ids array<int>" + ", decoded binary" * back)
 

@@ -91,3 +91,16 @@ def test_odd_rows(odd, none, library, pieces):
     got = sorted(str(tuple(r)) for r in tokencount.count_tokens(odd, MODEL).collect())
     assert got == sorted(str((r.doc_id, len((r.text or "").encode()), len(pieces.encode(r.text or "")), len(pieces.encode(r.text or "")) > 4096)) for r in rows)
     assert bpe.digests(none, RANKS, PATTERN).count() == tokencount.count_tokens(none, MODEL).count() == 0
+
+
+def test_a_worker_keeps_the_vocabulary_only(spark):
+    import pyarrow as pa
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('some ', sha1(string(id)), ' text') as text").repartition(4)
+    assert bpe.encode(docs, RANKS, PATTERN).selectExpr("sum(size(ids))").first()[0] > 400
+
+    def kept(batches):
+        c = bpe.codec(RANKS, PATTERN)
+        yield pa.RecordBatch.from_pydict({"n": [len(c.known) + len(c.known.old) + len(c.short) + len(c.short.old) + len(c.fits)]}, pa.schema([("n", pa.int64())]))
+
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(kept, "n long").collect()} == {0}
