@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import formats
-from .matrix import SparseMatrix
+from .blocks import dense, opened, passes, row_blocks, sent, sums
+from .matrix import Gram, SparseMatrix
 
 #: Elements of a vector that is broadcast (16 bytes each).
 BROADCAST = 500_000
@@ -42,9 +43,34 @@ def _sum(m: SparseMatrix, entries: DataFrame, x: DataFrame) -> DataFrame:
 
 def spmv(m: SparseMatrix, x: DataFrame) -> DataFrame:
     """(i, y), from entries in any order."""
+    if isinstance(m, Gram):
+        return _through_factor(m, x)
     return _all_rows(m, _sum(m, m.entries, x))
 
 
+def _through_factor(m: Gram, x: DataFrame) -> DataFrame:
+    """(i, y): each row of the factor times x, times the row, and ``shift`` x; one pass if x is short enough to broadcast."""
+    n = m.n_cols
+    if n > BROADCAST:
+        ahead = spmv(m.factor, x).select(F.col("i").alias("idx"), F.col("y").alias("v"))
+        back = spmv(m.factor.transpose(), ahead)
+    else:
+        held = sent(m.spark, dense(x, n))
+
+        def run(batches):
+            v, q, met = held.value, np.zeros(n), np.zeros(n, bool)
+            for _, _, _, at, lens, j, val in opened(batches, n):
+                np.add.at(q, j, val * np.repeat(np.add.reduceat(val * v[j], at), lens))
+                met[j] = True
+            here = np.flatnonzero(met)
+            yield sums(["i", "y"], here, q[here])
+
+        blocks = m.blocks if m.blocks is not None else row_blocks(m.factor)
+        back = _all_rows(m, passes(blocks).mapInArrow(run, "i long, y double").groupBy("i").agg(F.sum("y").alias("y")))
+    own = x.select(F.col("idx").alias("i"), "v")
+    return back.join(own, "i", "left").select("i", (F.col("y") + F.lit(m.shift) * F.coalesce("v", F.lit(0.0))).alias("y"))
+
+
 def spmv_add(m: SparseMatrix, x: DataFrame, y0: DataFrame) -> DataFrame:
     """y0 + A x."""
     return spmv(m, x).join(y0.select(F.col("idx").alias("i"), "v"), "i").select("i", (F.col("y") + F.col("v")).alias("y"))

@@ -110,6 +110,31 @@ class SparseMatrix:
         return self.entries.orderBy(*(by or ("i", "j")))
 
 
+@dataclass(frozen=True)
+class Gram(SparseMatrix):
+    """Transposed ``factor`` times ``factor``, plus ``shift`` times the identity.
+
+    Products go through the factor: the matrix itself has an entry for each pair of columns that meet in a row.
+    ``entries`` are its plan, for what needs them; what is made of them is a plain matrix.
+    """
+
+    factor: SparseMatrix
+    shift: float = 0.0
+    #: The factor's ``row_blocks``, if they are kept.
+    blocks: DataFrame | None = None
+
+    @classmethod
+    def of_factor(cls, m: SparseMatrix, shift: float = 0.0) -> Gram:
+        a = m.entries.select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("val").alias("a"))
+        b = m.entries.select(F.col("i").alias("k"), "j", F.col("val").alias("b"))
+        product = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
+        one = m.spark.range(m.n_cols).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(shift)).alias("val"))
+        return cls(SparseMatrix(product.unionByName(one), m.n_cols, m.n_cols).combine().entries, m.n_cols, m.n_cols, m, float(shift))
+
+    def with_entries(self, entries: DataFrame) -> SparseMatrix:
+        return SparseMatrix(entries, self.n_rows, self.n_cols)
+
+
 def compose(first: DataFrame, then: DataFrame) -> DataFrame:
     """The ordering ``first`` and after it ``then``."""
     return first.join(then.select(F.col("idx").alias("new_idx"), F.col("new_idx").alias("n")), "new_idx").select("idx", F.col("n").alias("new_idx"))

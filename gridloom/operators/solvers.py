@@ -6,14 +6,17 @@ and one pass for its scalars; each is checkpointed, which bounds the plan and su
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint
-from .kernels import spmv
-from .matrix import SparseMatrix
+from .blocks import row_blocks
+from .kernels import BROADCAST, spmv
+from .matrix import Gram, SparseMatrix
 from .vector import diagonal
 
 
@@ -30,6 +33,21 @@ def start_vectors(m: SparseMatrix) -> tuple[DataFrame, DataFrame]:
     return base.select("idx", (F.col("idx") % 10).cast("double").alias("v")), base.select("idx", F.greatest(5 - F.col("idx"), F.lit(0)).cast("double").alias("v"))
 
 
+@contextmanager
+def _kept(m: SparseMatrix) -> Iterator[SparseMatrix]:
+    """The matrix with what its products read kept in place: its entries, or its factor's."""
+    if not isinstance(m, Gram):
+        kept = m.entries.persist()
+        yield m.with_entries(kept)
+    elif m.n_cols > BROADCAST:
+        kept = m.factor.entries.persist()
+        yield replace(m, factor=m.factor.with_entries(kept))
+    else:
+        kept = row_blocks(m.factor).persist()
+        yield replace(m, blocks=kept)
+    kept.unpersist()
+
+
 def _times(m: SparseMatrix, state: DataFrame, of: str, out: str) -> DataFrame:
     """``state`` with ``out`` = A times its column ``of``."""
     y = spmv(m, state.select("idx", F.col(of).alias("v"))).select(F.col("i").alias("idx"), F.col("y").alias(out))
@@ -42,20 +60,19 @@ def _scalar(state: DataFrame, a: str, b: str) -> float:
 
 def cg(m: SparseMatrix, b: DataFrame, x0: DataFrame, stop: float = 0.01, most: int = 10_000) -> Solution:
     """Conjugate gradients until <r, r> <= stop."""
-    m = m.with_entries(m.entries.persist())
-    state = x0.select("idx", F.col("v").alias("x")).join(b.select("idx", F.col("v").alias("b")), "idx")
-    state = checkpoint(_times(m, state, "x", "q").select("idx", "x", (F.col("b") - F.col("q")).alias("r"), (F.col("b") - F.col("q")).alias("p")))
-    ro, n = _scalar(state, "r", "r"), 0
-    while ro > stop and n < most:
-        state = checkpoint(_times(m, state, "p", "q"))
-        pq = _scalar(state, "p", "q")
-        if pq == 0:
-            break
-        alpha = F.lit(ro / pq)
-        state = state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
-        new = _scalar(state, "r", "r")
-        state, ro, n = state.select("idx", "x", "r", (F.col("r") + F.lit(new / ro) * F.col("p")).alias("p")), new, n + 1
-    m.entries.unpersist()
+    with _kept(m) as m:
+        state = x0.select("idx", F.col("v").alias("x")).join(b.select("idx", F.col("v").alias("b")), "idx")
+        state = checkpoint(_times(m, state, "x", "q").select("idx", "x", (F.col("b") - F.col("q")).alias("r"), (F.col("b") - F.col("q")).alias("p")))
+        ro, n = _scalar(state, "r", "r"), 0
+        while ro > stop and n < most:
+            state = checkpoint(_times(m, state, "p", "q"))
+            pq = _scalar(state, "p", "q")
+            if pq == 0:
+                break
+            alpha = F.lit(ro / pq)
+            state = state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "p")
+            new = _scalar(state, "r", "r")
+            state, ro, n = state.select("idx", "x", "r", (F.col("r") + F.lit(new / ro) * F.col("p")).alias("p")), new, n + 1
     return Solution(state.select("idx", F.col("x").alias("v")), n, ro)
 
 
@@ -64,24 +81,23 @@ def pcg(m: SparseMatrix, b: DataFrame, x0: DataFrame, stop: float = 0.01, most:
 
     For a symmetric matrix the two coupled sequences of the biconjugate form coincide, so one is kept.
     """
-    m = m.with_entries(m.entries.persist())
-    inverse = F.lit(1.0) / F.coalesce(F.nullif("d", F.lit(0.0)), F.lit(1.0))
-    state = x0.select("idx", F.col("v").alias("x")).join(b.select("idx", F.col("v").alias("b")), "idx").join(diagonal(m), "idx", "left").withColumn("w", inverse)
-    norm = _scalar(state, "b", "b") ** 0.5 or 1.0
-    state = _times(m, state, "x", "q").withColumn("r", F.col("b") - F.col("q"))
-    state = checkpoint(state.select("idx", "x", "r", "w", (F.col("w") * F.col("r")).alias("p")))
-    rz, n, error = state.agg(F.sum(F.col("r") * F.col("r") * F.col("w"))).first()[0] or 0.0, 0, _scalar(state, "r", "r") ** 0.5 / norm
-    while error > stop and n < most:
-        state = checkpoint(_times(m, state, "p", "q"))
-        pq = _scalar(state, "p", "q")
-        if pq == 0:
-            break
-        alpha = F.lit(rz / pq)
-        state = state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "w", "p")
-        new, rr = state.agg(F.sum(F.col("r") * F.col("r") * F.col("w")), F.sum(F.col("r") * F.col("r"))).first()
-        state = state.select("idx", "x", "r", "w", (F.col("w") * F.col("r") + F.lit(new / rz) * F.col("p")).alias("p"))
-        rz, n, error = new, n + 1, rr**0.5 / norm
-    m.entries.unpersist()
+    with _kept(m) as m:
+        inverse = F.lit(1.0) / F.coalesce(F.nullif("d", F.lit(0.0)), F.lit(1.0))
+        state = x0.select("idx", F.col("v").alias("x")).join(b.select("idx", F.col("v").alias("b")), "idx").join(diagonal(m), "idx", "left").withColumn("w", inverse)
+        norm = _scalar(state, "b", "b") ** 0.5 or 1.0
+        state = _times(m, state, "x", "q").withColumn("r", F.col("b") - F.col("q"))
+        state = checkpoint(state.select("idx", "x", "r", "w", (F.col("w") * F.col("r")).alias("p")))
+        rz, n, error = state.agg(F.sum(F.col("r") * F.col("r") * F.col("w"))).first()[0] or 0.0, 0, _scalar(state, "r", "r") ** 0.5 / norm
+        while error > stop and n < most:
+            state = checkpoint(_times(m, state, "p", "q"))
+            pq = _scalar(state, "p", "q")
+            if pq == 0:
+                break
+            alpha = F.lit(rz / pq)
+            state = state.select("idx", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("q")).alias("r"), "w", "p")
+            new, rr = state.agg(F.sum(F.col("r") * F.col("r") * F.col("w")), F.sum(F.col("r") * F.col("r"))).first()
+            state = state.select("idx", "x", "r", "w", (F.col("w") * F.col("r") + F.lit(new / rz) * F.col("p")).alias("p"))
+            rz, n, error = new, n + 1, rr**0.5 / norm
     return Solution(state.select("idx", F.col("x").alias("v")), n, error)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matrix import SparseMatrix
+from .matrix import Gram, SparseMatrix
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -63,6 +63,9 @@ def gather(v: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def diagonal(m: SparseMatrix) -> DataFrame:
+    if isinstance(m, Gram):
+        squares = m.factor.combine().entries.groupBy(F.col("j").alias("idx")).agg(F.sum(F.col("val") * F.col("val")).alias("d"))
+        return m.rows("idx").join(squares, "idx", "left").select("idx", (F.coalesce("d", F.lit(0.0)) + F.lit(m.shift)).alias("d"))
     return m.entries.where("i = j").groupBy(F.col("i").alias("idx")).agg(F.sum("val").alias("d"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matrix import SparseMatrix
+from ..operators.matrix import Gram, SparseMatrix
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,9 @@ def cn(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     return SparseMatrix.of(_read(spark, sf_dir, "customer"), _rows(spark, sf_dir, "customer"), _rows(spark, sf_dir, "nation"), "c_custkey", "c_nationkey", None)
 
 
-def ss(spark: SparkSession, sf_dir: str) -> SparseMatrix:
+def ss(spark: SparkSession, sf_dir: str) -> Gram:
     """Supplier x supplier: transposed ``ps`` times ``ps`` plus the identity, symmetric positive definite."""
-    m = ps(spark, sf_dir)
-    a = m.entries.select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("val").alias("a"))
-    b = m.entries.select(F.col("i").alias("k"), "j", F.col("val").alias("b"))
-    product = a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("val"))
-    one = spark.range(m.n_cols).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("val"))
-    return SparseMatrix(product.unionByName(one), m.n_cols, m.n_cols).combine()
+    return Gram.of_factor(ps(spark, sf_dir), 1.0)
 
 
 def lower(spark: SparkSession, sf_dir: str) -> SparseMatrix:

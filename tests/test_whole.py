@@ -1,13 +1,16 @@
 """Queries that go over whole matrices give as many rows as these have, by plans without a task for all of them."""
 
 import re
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from helpers import DATA, skewed
 from pyspark.sql import functions as F
 
 from gridloom.functions import scan
-from gridloom.operators import formats, kernels, partition
+from gridloom.operators import blocks, formats, kernels, partition, solvers
+from gridloom.operators.matrix import Gram, SparseMatrix
 from gridloom.plans import catalog, tables
 
 
@@ -63,3 +66,34 @@ def test_trees_of_long_ranges(spark, block):
     want = sorted(map(tuple, partition.bipartition(m, 0.2).select("node_id", "level", "row_start", "row_end", "is_leaf").collect()))
     got = partition.bipartition(m, 0.2, block=block).select("node_id", "level", "row_start", "row_end", "is_leaf")
     assert sorted(map(tuple, got.collect())) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("solve", [solvers.cg, solvers.pcg])
+@pytest.mark.parametrize("broadcast", [kernels.BROADCAST, 1])
+def test_solvers_go_through_the_factor(spark, monkeypatch, solve, broadcast):
+    # the product itself, an entry for each pair that meets in a row, is never formed
+    monkeypatch.setattr(kernels, "BROADCAST", broadcast)
+    monkeypatch.setattr(solvers, "BROADCAST", broadcast)
+    m = tables.ss(spark, DATA)
+    x0, b = solvers.start_vectors(m)
+    plain = SparseMatrix(m.entries, m.n_rows, m.n_cols)
+    want = {r.idx: r.v for r in solve(plain, b, x0, stop=0.0, most=2).x.collect()}
+    never = m.entries.withColumn("val", F.raise_error(F.concat(F.lit("formed "), F.col("i"))).cast("double"))
+    assert isinstance(m, Gram)
+    got = {r.idx: r.v for r in solve(replace(m, entries=never), b, x0, stop=0.0, most=2).x.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_blocks_hold_all_entries_whatever_their_lengths(spark, monkeypatch):
+    m = skewed(spark)
+    for long in (blocks.LONG, 7):
+        monkeypatch.setattr(blocks, "LONG", long)
+        rows = blocks.row_blocks(m).collect()
+        got = [(int(i), int(j), float(v)) for r in rows for i, a, z in _lines(r) for j, v in zip(np.frombuffer(r.j, np.int32)[a:z], np.frombuffer(r.val)[a:z])]
+        assert sorted(got) == sorted(map(tuple, m.entries.collect())) and all(r.b == i // blocks.ROWS for r in rows for i, _, _ in _lines(r))
+        assert len({i for r in rows for i, _, _ in _lines(r)}) == sum(len(_lines(r)) for r in rows)
+
+
+def _lines(r):
+    at = np.frombuffer(r["at"], np.int64).tolist()
+    return list(zip(np.frombuffer(r["i"], np.int64).tolist(), at, [*at[1:], len(r["val"]) // 8]))
