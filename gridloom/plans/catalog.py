@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import scratch
+from ..functions.lineage import checkpoint, scratch
 from ..operators import assign, formats, kernels, partition, solvers, stats, vector
 from ..operators.matrix import SparseMatrix, compose
 from ..sources import mtx
@@ -570,11 +570,13 @@ def hypergraph_partition(spark, d):
 def hypergraph_quality(spark, d):
     """All rows have a part, no part is over 10 % above the mean, and the cut is no worse than that of contiguous parts."""
     m = tables.ps(spark, d)
-    found, start = partition.hypergraph(m, 4), partition.hypergraph(m, 4, rounds=0)
-    worse = partition.cut_metrics(m, found).select("cutsize").crossJoin(partition.cut_metrics(m, start).select(F.col("cutsize").alias("before")))
+    nets = partition.Nets(m, 4)
+    found, start = partition.hypergraph(m, 4, nets=nets), partition.hypergraph(m, 4, rounds=0, nets=nets)
+    no_worse = nets.held(found)[0] <= nets.held(start)[0]
     rows = found.where(F.col("part").between(0, 3)).agg(F.count_distinct("i").alias("n_rows"))
-    fair = partition.imbalance(m, found, 4).select((F.col("imbalance_pct") <= 10).alias("balanced"))
-    return rows.crossJoin(fair).crossJoin(worse.select((F.col("cutsize") <= F.col("before")).alias("no_worse")))
+    fair = checkpoint(partition.imbalance(m, found, 4, nets.weights()).select((F.col("imbalance_pct") <= 10).alias("balanced")))
+    nets.close()
+    return rows.crossJoin(fair).select("n_rows", "balanced", F.lit(no_worse).alias("no_worse"))
 
 
 @query(_sql("", f"select * from (values {', '.join(f'({k}::bigint, {n}::bigint)' for k, n in enumerate([2, 3, 3, 3]))}) t(block, parts)").replace("with  ", ""))

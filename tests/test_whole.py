@@ -84,6 +84,22 @@ def test_solvers_go_through_the_factor(spark, monkeypatch, solve, broadcast):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_nets_are_as_by_joins(spark, monkeypatch, turned):
+    m = skewed(spark).transpose() if turned else skewed(spark)
+    now = m.rows().select("i", F.pmod(F.xxhash64("i"), F.lit(3)).cast("int").alias("part")).join(formats.row_nnz(m).withColumnRenamed("nnz", "w"), "i")
+    found = []
+    for bound in (partition.DENSE, 3 * m.n_rows, 0):
+        monkeypatch.setattr(partition, "DENSE", bound)
+        nets = partition.Nets(m, 3)
+        assert nets.packed == bool(bound)
+        cutsize, held = nets.held(now)
+        want = nets.wants(now, held)
+        found.append((cutsize, sorted(map(tuple, want.select("i", "w", "own", "to", "gain").collect())), sorted(map(tuple, nets.weights().collect()))))
+        nets.close()
+    assert found[0] == found[1] == found[2] and found[0][1] and found[0][0] == partition.cut_metrics(m, now.select("i", "part")).first().cutsize
+
+
 def test_blocks_hold_all_entries_whatever_their_lengths(spark, monkeypatch):
     m = skewed(spark)
     for long in (blocks.LONG, 7):
