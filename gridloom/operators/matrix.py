@@ -71,7 +71,8 @@ class SparseMatrix:
 
     def get(self, points: DataFrame) -> DataFrame:
         """(i, j, val) at each of ``points`` (i, j); 0.0 where there is no entry."""
-        asked = self.entries.join(points.select("i", "j").distinct(), ["i", "j"], "left_semi")
+        # tasks hold the points and stream the entries, which a merge join would sort
+        asked = self.entries.join(points.select("i", "j").hint("shuffle_hash"), ["i", "j"], "left_semi")
         found = asked.groupBy("i", "j").agg(F.min("val").alias("val"))
         return points.join(found, ["i", "j"], "left").select("i", "j", F.coalesce("val", F.lit(0.0)).alias("val"))
 

@@ -108,7 +108,8 @@ def coo_combine(spark, d):
 @query(_sql("ps psr", "select r.i, r.i % 10 as j, coalesce(e.val, 0.0)::double as val from psr r left join ps e on e.i = r.i and e.j = r.i % 10"))
 def coo_get(spark, d):
     m = tables.ps(spark, d)
-    return m.get(m.rows().select("i", (F.col("i") % 10).alias("j")))
+    points = m.rows().select("i", (F.col("i") % 10).alias("j"))
+    return tables.ps(spark, d, points).get(points)
 
 
 @query(_sql("ps", "select count(*) as nnz, count(*) = 0 as is_empty from ps where i >= 20 and i < 170 and j >= 2 and j < 9"))

@@ -16,9 +16,12 @@ def _rows(spark: SparkSession, sf_dir: str, name: str) -> int:
     return _read(spark, sf_dir, name).count()
 
 
-def ps(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    """Part x supplier: the quantity of each pair."""
-    e = _read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("val"))
+def ps(spark: SparkSession, sf_dir: str, at: DataFrame | None = None) -> SparseMatrix:
+    """Part x supplier: the quantity of each pair; given points (i, j), only of those, and the rest isn't summed."""
+    lines = _read(spark, sf_dir, "lineitem")
+    if at is not None:
+        lines = lines.join(at.select(F.col("i").alias("l_partkey"), F.col("j").alias("l_suppkey")).hint("shuffle_hash"), ["l_partkey", "l_suppkey"], "left_semi")
+    e = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("val"))
     return SparseMatrix.of(e, _rows(spark, sf_dir, "part"), _rows(spark, sf_dir, "supplier"), "l_partkey", "l_suppkey")
 
 

@@ -113,3 +113,13 @@ def test_blocks_hold_all_entries_whatever_their_lengths(spark, monkeypatch):
 def _lines(r):
     at = np.frombuffer(r["at"], np.int64).tolist()
     return list(zip(np.frombuffer(r["i"], np.int64).tolist(), at, [*at[1:], len(r["val"]) // 8]))
+
+
+def test_lookups_drop_entries_before_they_are_summed_or_sorted(spark):
+    plan = catalog.QUERIES["coo_get"](spark, DATA)._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    lines = plan.splitlines()
+    semi = [k for k, x in enumerate(lines) if "ShuffledHashJoin" in x and "LeftSemi" in x]
+    # a plan's deeper lines are below
+    assert len(semi) == 2 and semi[-1] > max(k for k, x in enumerate(lines) if "sum(l_quantity" in x)
+    below = lines[semi[-1] :]
+    assert not any(re.search(r"\bSort ", x) for x in below)
